@@ -25,7 +25,8 @@ OPS = {
 }
 
 
-def _tagged(ws: Workspace, df: DataFrame, by: list[str], parts: int | None) -> DataFrame:
+def ranges(ws: Workspace, df: DataFrame, by: list[str], parts: int | None) -> DataFrame:
+    """``df`` range-partitioned and written, with the number of each row's partition in ``_part``."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return ws.keep(df.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()), "ranges")
 
@@ -33,7 +34,7 @@ def _tagged(ws: Workspace, df: DataFrame, by: list[str], parts: int | None) -> D
 def running_total(ws: Workspace, df: DataFrame, key: str, order: str, weight: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``running``: the sum of ``weight`` over the rows of the same key up to this
     one by ``order``, whose values must be distinct in a key."""
-    t = _tagged(ws, df, [key, order], parts)
+    t = ranges(ws, df, [key, order], parts)
     sums = t.groupBy("_part", key).agg(F.sum(weight).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = F.sum(weight).over(W.partitionBy("_part", key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
@@ -42,7 +43,7 @@ def running_total(ws: Workspace, df: DataFrame, key: str, order: str, weight: st
 
 
 def scan(
-    df: DataFrame, pos: str, value: str, op: str = "sum", inclusive: bool = True, identity: object = 0,
+    df: DataFrame, pos: str | list[str], value: str, op: str = "sum", inclusive: bool = True, identity: object = 0,
     seg: str | None = None, to: str = "scan", parts: int | None = None, ws: Workspace | None = None,
 ) -> DataFrame:
     """``df`` with ``to``: the reduction of ``value`` over all rows up to this one by ``pos``
@@ -53,14 +54,15 @@ def scan(
     """
     reduce_, combine = OPS[op]
     ws = ws or Workspace(df.sparkSession)
-    by = [seg, pos] if seg else [pos]
-    t = _tagged(ws, df, by, parts)
+    order = [pos] if isinstance(pos, str) else pos
+    by = [seg, *order] if seg else order
+    t = ranges(ws, df, by, parts)
     keys = ["_part", *([seg] if seg else [])]
     none = F.lit(identity)
     groups = t.groupBy(*keys).agg(reduce_(value).alias("_all"))
     outer = (W.partitionBy(seg) if seg else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = groups.select(*keys, reduce_("_all").over(outer).alias("_before"))
-    frame = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     same = F.col("t._part") == F.col("g._part")
     if seg:
         same &= F.col(f"t.{seg}").eqNullSafe(F.col(f"g.{seg}"))
