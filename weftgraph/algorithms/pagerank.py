@@ -28,7 +28,8 @@ def program(damping: float = DAMPING, change_tol: float = CHANGE_TOL) -> Program
         gather_identity=0.0,
         apply=lambda s, got, step: {"rank": round(base, 12) + damping * got},
         changed=lambda s, new, got, step: F.abs(round(base, 12) + damping * got - s("rank")) >= change_tol,
-        extra={"degree": lambda g: degrees(g)},
+        max_supersteps=100_000,
+        extra={"degree": degrees},
     )
 
 

@@ -3,7 +3,7 @@
 Vertex state is one table, written to the shared folder after each superstep; edges are
 persisted once, hash-partitioned by the side they are joined on, so supersteps shuffle the
 active vertices and the messages, never the edges.  Messages are combined on the map side.
-One small action per superstep counts the active vertices.
+The number of active vertices is observed while the state is written, so it costs no job.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.model import Graph
@@ -74,31 +74,31 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
         base = base.join(program.extra["degree"](graph), "id", "left")
     init = program.init(F.col("id"), is_source)
     columns = [c.alias(k) for k, c in init.items()]
-    no_msg = F.lit(None).cast("bigint" if program.expand_edge is None else program.extra.get("msg_type", "bigint"))
+    no_msg = F.lit(None).cast(program.message_type)
     v = ws.keep(base.select("id", *columns, is_source.alias("active"), no_msg.alias("msg")), "vertices")
     names = list(init)
     active = v.filter("active").count()
-    limit = max_supersteps if max_supersteps is not None else v.count() + 1
+    limit = max_supersteps if max_supersteps is not None else program.max_supersteps or v.count() + 1
     step = 0
     while active and (iter_num is None or step < iter_num):
         if iter_num is None and step >= limit:
             raise RuntimeError(f"still {active} active vertices after {step} supersteps; a negative cycle never ends")
         began = time.monotonic()
         now = v
-        # A message has the type of what it is compared with, whatever the state's type.
         arrived = F.col("msg")
         if program.gather is not Along.NONE:
             state = v.select("id", *names)
-            got = gather(v.filter("active"), state, held[program.gather], program.gather, program.gather_edge, program.gather_sum, program.gather_identity)
+            got = gather(v.filter("active"), state, held[program.gather], Along.OUT, program.gather_edge, program.gather_sum, program.gather_identity)
             now, arrived = v.join(got, "id", "left"), F.col("gathered")
         if program.apply:
             new = program.apply(F.col, arrived, step)
             changed = F.col("active") & F.coalesce(program.changed(F.col, new, arrived, step), F.lit(False))
             now = now.select("id", "active", *(F.when(F.col("active"), new[k]).otherwise(F.col(k)).alias(k) if k in new else F.col(k) for k in names), changed.alias("changed"))
-            now = ws.keep(now, "applied")
+            if program.gather is not Along.NONE:
+                now = ws.keep(now, "applied")  # else the gather would run for messages and for state
         else:
             now = now.select("id", "active", *names, F.col("active").alias("changed"))
-        message = program.expand_edge or (lambda s, e: F.lit(1).cast("bigint"))
+        message = program.expand_edge or (lambda s, e: F.lit(1).cast(program.message_type))
         msgs = expand(now.filter("changed").select("id", *names), held[program.expand], program.expand, message, program.combine)
         met = now.select("id", *names).join(msgs, "id", "left")
         accept = F.col("msg").isNotNull()
@@ -106,11 +106,12 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
             accept &= F.coalesce(program.accept(F.col, F.col("msg")), F.lit(False))
         set_ = program.contract(F.col, F.col("msg"), step) if program.contract else {}
         after = met.select("id", *(F.when(accept, set_[k]).otherwise(F.col(k)).alias(k) if k in set_ else F.col(k) for k in names), accept.alias("active"), F.when(accept, F.col("msg")).alias("msg"))
-        nxt = ws.keep(after, "vertices")
+        seen = Observation()
+        nxt = ws.keep(after.observe(seen, F.count_if("active").alias("active")), "vertices")
         ws.drop(v, now)
         v = nxt
         report.supersteps.append({"superstep": step, "active": active, "seconds": round(time.monotonic() - began, 3)})
-        active = v.filter("active").count()
+        active = seen.get["active"]
         step += 1
     report.converged = not active
     for e in held.values():

@@ -54,5 +54,6 @@ class Program:
     combine: str = "any"
     accept: Callable[[Get, Column], Column] | None = None
     contract: Callable[[Get, Column, int], State] | None = None
-    result: str = "value"
+    message_type: str = "bigint"
+    max_supersteps: int | None = None
     extra: dict = field(default_factory=dict)

@@ -45,7 +45,6 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
         self.count = 0
         atexit.register(_delete, spark, self.root)
 
@@ -54,7 +53,6 @@ class Workspace:
         path = f"{self.root}/{self.count:04d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._workspace_path = path  # noqa: SLF001
         return out
 
