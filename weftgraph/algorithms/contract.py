@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.session import Workspace
@@ -41,10 +41,12 @@ def hook_and_contract(ws: Workspace, edges: DataFrame, seed: int) -> tuple[DataF
     moved = 1
     while moved:
         up = f.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-        new = ws.keep(f.join(up, "parent").select("v", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "hooks")
+        seen = Observation()
+        jumped = f.join(up, "parent").observe(seen, F.count_if("above <> parent").alias("moved"))
+        new = ws.keep(jumped.select("v", F.col("above").alias("parent")), "hooks")
         ws.drop(f)
-        f, moved = new, new.filter("moved").limit(1).count()
-    roots = f.select("v", "parent")
+        f, moved = new, seen.get["moved"]
+    roots = f
     joined = edges.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
     left = joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
     return roots.filter("v <> parent"), ws.keep(left, "left")

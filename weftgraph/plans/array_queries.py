@@ -31,8 +31,8 @@ _add("consecutive_removal", f"WITH {B} SELECT pos, key, val FROM (SELECT *, lag(
      lambda s, d: order.consecutive_removal(array_b(s, d), "pos", "key"))
 _add("bulk_remove", f"WITH {O} SELECT pos, key, val, row_number() OVER (ORDER BY pos) - 1 AS new_pos FROM o WHERE pos NOT IN (SELECT p_partkey * 3 FROM part)",
      lambda s, d: order.bulk_remove(array_o(s, d), "pos", table(s, d, "part").select((F.col("p_partkey") * 3).alias("pos"))))
-_add("bulk_insert", f"""WITH {A}, {B}, x AS (SELECT pos * 13 % 1009 AS at, 0 AS t, pos, val FROM a UNION ALL SELECT pos, 1, pos, val FROM b)
-    SELECT row_number() OVER (ORDER BY at, t, pos) - 1 AS new_pos, CASE t WHEN 0 THEN 'a' ELSE 'b' END AS side, pos, val FROM x""",
+_add("bulk_insert", f"""WITH {A}, {B}, x AS (SELECT pos * 13 % 1009 AS place, 0 AS t, pos, val FROM a UNION ALL SELECT pos, 1, pos, val FROM b)
+    SELECT row_number() OVER (ORDER BY place, t, pos) - 1 AS new_pos, CASE t WHEN 0 THEN 'a' ELSE 'b' END AS side, pos, val FROM x""",
      lambda s, d: order.bulk_insert(array_a(s, d).withColumn("at", F.col("pos") * 13 % 1009), array_b(s, d)))
 _add("adjacent_difference", f"WITH {O} SELECT pos, key, val, val - coalesce(lag(val) OVER (ORDER BY pos), 0) AS diff FROM o",
      lambda s, d: order.adjacent_difference(array_o(s, d), "pos", "val"))
@@ -146,16 +146,16 @@ _SEARCH = "WITH {a}, {b}, k AS (SELECT key, count(*) AS n FROM b GROUP BY key) S
 _add("sorted_search_lower", _SEARCH.format(a=A, b=B, op="<"), lambda s, d: order.sorted_search(array_a(s, d), array_b(s, d)))
 _add("sorted_search_upper", _SEARCH.format(a=A, b=B, op="<="), lambda s, d: order.sorted_search(array_a(s, d), array_b(s, d), upper=True))
 _add("search_match", f"WITH {A}, {B} SELECT pos, key, val, key IN (SELECT key FROM b) AS match FROM a", lambda s, d: order.search_match(array_a(s, d), array_b(s, d)))
-_add("load_balance_search", f"""WITH {A}, x AS (SELECT pos AS owner, val % 4 AS n, sum(val % 4) OVER (ORDER BY pos) - val % 4 AS at FROM a)
-    SELECT CAST(at + k AS BIGINT) AS item, owner, k AS rank FROM (SELECT owner, at, unnest(range(n)) AS k FROM x)""",
+_add("load_balance_search", f"""WITH {A}, x AS (SELECT pos AS owner, val % 4 AS n, sum(val % 4) OVER (ORDER BY pos) - val % 4 AS place FROM a)
+    SELECT CAST(place + k AS BIGINT) AS item, owner, k AS rank FROM (SELECT owner, place, unnest(range(n)) AS k FROM x)""",
      lambda s, d: order.load_balance(array_a(s, d).withColumn("n", F.col("val") % 4), "pos", "n"))
 
 # Intervals.
-_add("interval_expand", f"""WITH {A}, x AS (SELECT key, val % 4 AS n, sum(val % 4) OVER (ORDER BY pos) - val % 4 AS at FROM a)
-    SELECT CAST(at + k AS BIGINT) AS item, key AS value FROM (SELECT key, at, unnest(range(n)) AS k FROM x)""",
+_add("interval_expand", f"""WITH {A}, x AS (SELECT key, val % 4 AS n, sum(val % 4) OVER (ORDER BY pos) - val % 4 AS place FROM a)
+    SELECT CAST(place + k AS BIGINT) AS item, key AS value FROM (SELECT key, place, unnest(range(n)) AS k FROM x)""",
      lambda s, d: order.interval_expand(array_a(s, d).withColumn("n", F.col("val") % 4), "pos", "n", "key"))
 _INTERVALS = f"""WITH {A}, {O}, i AS (
-    SELECT pos, pos * 5 % 1400 AS g, pos * 3 AS s, val % 4 AS n, CAST(sum(val % 4) OVER (ORDER BY pos) - val % 4 AS BIGINT) AS at FROM a),
+    SELECT pos, pos * 5 % 1400 AS g, pos * 3 AS s, val % 4 AS n, CAST(sum(val % 4) OVER (ORDER BY pos) - val % 4 AS BIGINT) AS place FROM a),
     e AS (SELECT *, unnest(range(n)) AS k FROM i)"""
 
 
@@ -164,7 +164,7 @@ def _intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 for _name, _g, _s in (("interval_move", True, True), ("interval_gather", True, False), ("interval_scatter", False, True)):
-    _add(_name, f"{_INTERVALS} SELECT {'s' if _s else 'at'} + k AS \"to\", o.val FROM e JOIN o ON o.pos = {'g' if _g else 'at'} + k",
+    _add(_name, f"{_INTERVALS} SELECT {'s' if _s else 'place'} + k AS \"to\", o.val FROM e JOIN o ON o.pos = {'g' if _g else 'place'} + k",
          lambda s, d, g=_g, w=_s: order.interval_move(_intervals(s, d), array_o(s, d), gather=g, scatter=w))
 
 # Joins. Keys are narrowed so that pairs stay in proportion to the rows.
