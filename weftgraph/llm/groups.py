@@ -15,31 +15,16 @@ to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.algorithms.contract import SMALL_EDGES, both_ends, hook_and_contract, resolve, simple_edges, smallest_of_group, solve_small
 from weftgraph.session import Workspace
 
-CORE_EDGES = 300_000
-
-
-def links(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b), a < b: each link once.  Null sides and self-matches link nothing."""
-    x, y = F.col(f"`{a}`").cast("bigint"), F.col(f"`{b}`").cast("bigint")
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (x != y).alias("ok")).filter("ok").select("a", "b").distinct()
-
-
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).select("x.v", "x.u")
-
 
 def _with_degrees(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(a, b, da, db, na, nb): degrees, and the smaller neighbour of each end."""
-    info = ws.keep(_ends(edges).groupBy("v").agg(F.count("*").alias("d"), F.min("u").alias("n")), "degrees")
+    info = ws.keep(both_ends(edges).groupBy("v").agg(F.count("*").alias("d"), F.min("u").alias("n")), "degrees")
     one = edges.join(info.toDF("a", "da", "na"), "a")
     out = ws.keep(one.join(info.toDF("b", "db", "nb"), "b"), "edges")
     ws.drop(info)
@@ -55,25 +40,31 @@ def _chain_pointers(ws: Workspace, edges: DataFrame) -> DataFrame:
         F.when(F.col(du) == 2, F.when(F.col(nu) == F.col(v), 1).otherwise(0)).alias("es"), F.col(du).alias("ed"),
         F.least(F.col(v), F.when(F.col(du) == 2, F.col(u))).alias("low"), F.when(F.col(du) != 2, 1).alias("rank"),
     )
-    p = ws.keep(at("a", "b", "da", "db", "na", "nb").union(at("b", "a", "db", "da", "nb", "na")), "pointers")
+    p, open_ = _kept(ws, at("a", "b", "da", "db", "na", "nb").union(at("b", "a", "db", "da", "nb", "na")))
     step = 1
-    open_, lows = p.filter("es IS NOT NULL").agg(F.count("*"), F.sum("low")).first()
-    while open_:
+    while open_[0]:
         q = p.select(F.col("v").alias("ev"), F.col("s").alias("es"), F.col("ev").alias("ev2"), F.col("es").alias("es2"), F.col("ed").alias("ed2"), F.col("low").alias("low2"), F.col("rank").alias("rank2"))
         jumped = p.filter("es IS NOT NULL").join(q, ["ev", "es"]).select(
             "v", "s", F.col("ev2").alias("ev"), F.col("es2").alias("es"), F.col("ed2").alias("ed"),
             F.least("low", "low2").alias("low"), (F.col("rank2") + step).alias("rank"),
         )
-        new = ws.keep(p.filter("es IS NULL").select(jumped.columns).union(jumped), "pointers")
+        before = open_
+        new, open_ = _kept(ws, p.filter("es IS NULL").select(jumped.columns).union(jumped))
         ws.drop(p)
         p, step = new, step * 2
-        before = open_, lows
-        open_, lows = p.filter("es IS NOT NULL").agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
-        if (open_, lows) == before:
+        if open_ == before:
             break  # only rings are left, and each pointer has seen its whole ring
     return p
 
 
+def _kept(ws: Workspace, pointers: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written pointers, and of those not at an end the number and the sum of ``low``, seen while writing."""
+    going, seen = F.col("es").isNotNull(), Observation()
+    low = F.when(going, F.col("low").cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
+    out = ws.keep(pointers.observe(seen, F.count_if(going).alias("n"), F.sum(low).alias("low")), "pointers")
+    return out, (seen.get["n"], seen.get["low"])
+
+
 def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round of compressing and stripping: (removed: v, parent), (edges: a, b)."""
     e = _with_degrees(ws, edges)
@@ -102,67 +93,9 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return removed, left
 
 
-def _contract(ws: Workspace, edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Hook each vertex to its neighbour of smallest random priority, if that is smaller than
-    its own, jump to the roots, and contract: (removed: v, parent), (edges: a, b)."""
-    of = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("id"))
-    hook = _ends(edges).groupBy("v").agg(F.min(of("u")).alias("best"))
-    f = ws.keep(hook.select("v", F.when(F.col("best") < of("v"), F.col("best.id")).otherwise(F.col("v")).alias("parent")), "hooks")
-    while True:
-        up = f.toDF("parent", "above")
-        new = ws.keep(f.join(up, "parent").select("v", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "hooks")
-        ws.drop(f)
-        f, moved = new.select("v", "parent"), new.filter("moved").limit(1).count()
-        f._workspace_path = new._workspace_path  # noqa: SLF001
-        if not moved:
-            break
-    r = ws.keep(
-        edges.join(f.toDF("a", "ra"), "a").join(f.toDF("b", "rb"), "b")
-        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "left",
-    )
-    return f.filter("v <> parent"), r
-
-
-def _solve_small(edges: DataFrame) -> DataFrame:
-    """(v, parent) of a core of bounded size, in one task by union-find."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (p := parent.setdefault(root, root)) != root:
-                root = p
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        v = np.array([x for x in parent if find(x) != x], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.array([find(x) for x in v.tolist()], np.int64))], names=["v", "parent"])
-
-    return edges.coalesce(1).mapInArrow(run, "v bigint, parent bigint")
-
-
-def _label(big: DataFrame, small: DataFrame, hot_rows: int = 1000) -> DataFrame:
-    """big (v, root) joined with small (root, low, n).  Roots of more than 1/hot_rows of all
-    rows, of which there can't be more than ``hot_rows``, are joined by broadcast, so a group
-    that holds a third of all records doesn't meet in one task."""
-    total = small.agg(F.sum("n").alias("t")).first()["t"] or 0
-    hot = F.col("n") * hot_rows > total
-    a = big.join(F.broadcast(small.filter(hot).select("root", F.col("low").alias("hot_low"))), "root", "left")
-    direct = a.filter("hot_low IS NOT NULL").select("v", F.col("hot_low").alias("low"))
-    rest = a.filter("hot_low IS NULL").join(small.filter(~hot).select("root", "low"), "root").select("v", "low")
-    return direct.union(rest)
-
-
 def linked_groups(
     spark: SparkSession, vertices: DataFrame, pairs: DataFrame, id_col: str = "id", a: str = "row", b: str = "col",
-    core_edges: int = CORE_EDGES, least_share: float = 0.1,
+    core_edges: int = SMALL_EDGES, least_share: float = 0.1,
 ) -> DataFrame:
     """(id, group_id): one row for each distinct non-null id of ``vertices``; group_id is the
     smallest id linked with it over any number of pairs, itself included.
@@ -174,7 +107,7 @@ def linked_groups(
     """
     ws = Workspace(spark)
     removed: list[DataFrame] = []
-    edges = ws.keep(links(pairs, a, b), "links")
+    edges = ws.keep(simple_edges(pairs, a, b), "links")
     n = edges.count()
     while n > core_edges or (n and not removed):
         out, left = _round(ws, edges)
@@ -185,23 +118,14 @@ def linked_groups(
             break
     seed = 0
     while n > core_edges:
-        out, left = _contract(ws, edges, seed := seed + 1)
+        out, left = hook_and_contract(ws, edges, seed := seed + 1)
         ws.drop(edges)
         removed.append(out)
         edges, n = left, left.count()
-    roots = ws.keep(_solve_small(edges).withColumnRenamed("parent", "root"), "roots") if n else None
-    for r in reversed(removed):
-        if roots is None:
-            roots = ws.keep(r.withColumnRenamed("parent", "root"), "roots")
-            continue
-        # AQE splits the partitions of parents with very many children.
-        up = r.join(roots.toDF("parent", "above"), "parent", "left").select("v", F.coalesce("above", "parent").alias("root"))
-        new = ws.keep(up.union(roots.select("v", "root")), "roots")
-        ws.drop(roots, r)
-        roots = new
+    core = ws.keep(solve_small(edges).withColumnRenamed("parent", "root"), "roots") if n else None
+    roots = resolve(ws, removed, core)
     ids = vertices.select(F.col(f"`{id_col}`").cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
     if roots is None:
         return ids.withColumn("group_id", F.col("id"))
-    low = ws.keep(roots.groupBy("root").agg(F.least(F.min("v"), F.col("root")).alias("low"), F.count("*").alias("n")), "lows")
-    known = _label(roots, low).union(low.select(F.col("root").alias("v"), "low"))
+    known = smallest_of_group(ws, roots)
     return ids.join(known, ids.id == known.v, "left").select("id", F.coalesce("low", "id").alias("group_id"))
