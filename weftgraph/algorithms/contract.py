@@ -42,7 +42,7 @@ def hook_and_contract(ws: Workspace, edges: DataFrame, seed: int) -> tuple[DataF
     while moved:
         up = f.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
         seen = Observation()
-        jumped = f.join(up, "parent").observe(seen, F.count_if("above <> parent").alias("moved"))
+        jumped = f.join(up, "parent").observe(seen, F.count_if(F.col("above") != F.col("parent")).alias("moved"))
         new = ws.keep(jumped.select("v", F.col("above").alias("parent")), "hooks")
         ws.drop(f)
         f, moved = new, seen.get["moved"]
