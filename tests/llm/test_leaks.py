@@ -12,7 +12,7 @@ PASSAGE = "Near Velbeck the old archive holds 886 cogs while the painted brewery
 @settings(max_examples=60, deadline=None)
 def test_index_finds_every_phrase(body):
     s = np.array([0, *body, 0], np.int32)
-    sa = suffix_array(s, 3)
+    sa = suffix_array(s)
     assert sorted(sa.tolist()) == list(range(len(s)))
     index = FMIndex(s, 4, sample=4)
     phrases = sorted({tuple(body[i : i + 3]) for i in range(len(body) - 2) if 0 not in body[i : i + 3]} | {(1, 2, 3), (4, 4, 4)})

@@ -35,16 +35,21 @@ _WORD = re.compile(r"[^\W_]+")
 
 @lru_cache(maxsize=1)
 def _case_alike() -> dict[int, str]:
-    """Lower-case letters whose capital is drawn like another letter's capital."""
-    low = {c for line in LOOK_ALIKES.splitlines() for c in line.split(" ")[1]}
-    table = {}
-    for line in LOOK_ALIKES.splitlines():
-        to, alike = line.split(" ")
+    """Small letters -> the one form they are compared in.
+
+    Case is folded after the skeleton was taken, so a small letter may come from a capital
+    that was no look-alike itself, and a capital's prototype has another small letter than
+    the capital had (Cyrillic Ve: drawn like B, but its small form is not like b).
+    """
+    pairs = [line.split(" ") for line in LOOK_ALIKES.splitlines()]
+    small = {c: to for to, alike in pairs for c in alike if c.islower()}
+    other = {}
+    for to, alike in pairs:
         for c in alike:
-            small = c.lower()
-            if to.isupper() and small != c and len(small) == 1 and small not in low:
-                table[ord(small)] = to.lower()
-    return table
+            low = small.get(c.lower(), c.lower())
+            if to.isupper() and len(low) == 1 and not low.isascii():
+                other[low] = to.lower()
+    return {ord(c): other.get(to, to) for c, to in small.items()} | {ord(c): to for c, to in other.items()}
 
 
 def words(text: str | None) -> list[str]:
@@ -99,7 +104,7 @@ class Phrases:
         )
 
 
-def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
+def suffix_array(s: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order, by prefix doubling from packed symbols.
 
     Zeros are separators; each counts as a symbol of its own, in order of position, so common
@@ -112,7 +117,8 @@ def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(k):
         key <<= width + 1
-        key[: n - j] += own[j:] + 1
+        if j < n:
+            key[: n - j] += own[j:] + 1
     while True:
         sa = np.argsort(key, kind="stable")
         in_order = key[sa]
@@ -133,7 +139,7 @@ class FMIndex:
     def __init__(self, s: np.ndarray, n_symbols: int, sample: int = 16) -> None:
         self.n = len(s)
         self.bits = max(1, int(n_symbols).bit_length())
-        sa = suffix_array(s, self.bits)
+        sa = suffix_array(s)
         before = s[sa - 1]  # position 0 holds a separator, so the wrap never matters
         self.last = before
         self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n_symbols + 1))]).astype(np.int64)

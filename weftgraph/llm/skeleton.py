@@ -104,9 +104,10 @@ def _compatible(ch: str) -> str | None:
         return to
     if tag == "<compat>":
         name = unicodedata.name(ch, "")
-        joined = any(w in name for w in ("LIGATURE", "DIGRAPH", "ROMAN NUMERAL")) or (len(to) > 1 and to.isalpha())
-        alike = len(to) == 1 and unicodedata.category(ch)[0] == "L" and to.isalpha() and ch != "ſ"
-        if joined or alike or ch in "⼀⺟":
+        letter = unicodedata.category(ch)[0] == "L"
+        joined = any(w in name for w in ("LIGATURE", "DIGRAPH", "ROMAN NUMERAL")) or (letter and len(to) > 1 and to.isalpha())
+        alike = letter and len(to) == 1 and to.isalpha() and ch != "ſ"
+        if joined or alike or "RADICAL" in name:
             return to
     return None
 
