@@ -62,4 +62,11 @@ _FREQUENT = """
 ORACLE_SQL = {
     "p1_found": f"SELECT col {_FREQUENT}",
     "p1_counts": f"SELECT col, count(*) AS n, true AS within_bounds {_FREQUENT}",
+    "p5_found": """
+        WITH RECURSIVE e AS (
+            SELECT row AS a, col AS b FROM match_pair WHERE row <> col UNION SELECT col, row FROM match_pair WHERE row <> col),
+        k(v, low) USING KEY (v) AS (
+            SELECT v, v FROM (SELECT id AS v FROM vertices UNION SELECT a FROM e)
+            UNION SELECT e.b, min(k.low) FROM k JOIN e ON e.a = k.v JOIN recurring.k r ON r.v = e.b WHERE r.low > k.low GROUP BY e.b)
+        SELECT v AS id, low AS group_id FROM k WHERE v IN (SELECT id FROM vertices)""",
 }
