@@ -1,9 +1,9 @@
 """The superstep loop.
 
-Vertex state is one table, written to the shared folder after each superstep; edges are
-persisted once, hash-partitioned by the side they are joined on, so supersteps shuffle the
-active vertices and the messages, never the edges.  Messages are combined on the map side.
-The number of active vertices is observed while the state is written, so it costs no job.
+Edges and vertex state are tables in the shared folder, bucketed by the vertex they are
+joined on; state is written anew by each superstep, straight from the join that makes it.  So
+a superstep shuffles messages only, and those after they were combined on the map side.  The
+number of active vertices is observed while state is written, so it costs no job.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -63,7 +62,7 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held: dict[Along, DataFrame] = {}
     for along in {program.gather, program.expand} - {Along.NONE}:
-        held[along] = incident(graph.edges, along).repartition(n, "v").persist(StorageLevel.MEMORY_AND_DISK)
+        held[along] = ws.keep(incident(graph.edges, along).repartition(n, "v"), "edges", bucket="v")
     is_source = F.lit(True)
     base = graph.vertices
     if program.sources_only:
@@ -75,7 +74,7 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
     init = program.init(F.col("id"), is_source)
     columns = [c.alias(k) for k, c in init.items()]
     no_msg = F.lit(None).cast(program.message_type)
-    v = ws.keep(base.select("id", *columns, is_source.alias("active"), no_msg.alias("msg")), "vertices")
+    v = ws.keep(base.select("id", *columns, is_source.alias("active"), no_msg.alias("msg")).repartition(n, "id"), "vertices", bucket="id")
     names = list(init)
     active = v.filter("active").count()
     limit = max_supersteps if max_supersteps is not None else program.max_supersteps or v.count() + 1
@@ -95,7 +94,7 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
             changed = F.col("active") & F.coalesce(program.changed(F.col, new, arrived, step), F.lit(False))
             now = now.select("id", "active", *(F.when(F.col("active"), new[k]).otherwise(F.col(k)).alias(k) if k in new else F.col(k) for k in names), changed.alias("changed"))
             if program.gather is not Along.NONE:
-                now = ws.keep(now, "applied")  # else the gather would run for messages and for state
+                now = ws.keep(now, "applied", bucket="id")  # else the gather would run for messages and for state
         else:
             now = now.select("id", "active", *names, F.col("active").alias("changed"))
         message = program.expand_edge or (lambda s, e: F.lit(1).cast(program.message_type))
@@ -107,13 +106,12 @@ def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_n
         set_ = program.contract(F.col, F.col("msg"), step) if program.contract else {}
         after = met.select("id", *(F.when(accept, set_[k]).otherwise(F.col(k)).alias(k) if k in set_ else F.col(k) for k in names), accept.alias("active"), F.when(accept, F.col("msg")).alias("msg"))
         seen = Observation()
-        nxt = ws.keep(after.observe(seen, F.count_if("active").alias("active")), "vertices")
+        nxt = ws.keep(after.observe(seen, F.count_if("active").alias("active")), "vertices", bucket="id")
         ws.drop(v, now)
         v = nxt
         report.supersteps.append({"superstep": step, "active": active, "seconds": round(time.monotonic() - began, 3)})
         active = seen.get["active"]
         step += 1
     report.converged = not active
-    for e in held.values():
-        e.unpersist()
+    ws.drop(*held.values())
     return v.select("id", *names)

@@ -48,16 +48,28 @@ class Workspace:
         self.count = 0
         atexit.register(_delete, spark, self.root)
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None) -> DataFrame:
+        """``df`` written and read back.  With ``bucket`` it becomes a table bucketed by that
+        column into as many buckets as a shuffle has partitions: a later join on the column
+        needs no shuffle of it.  A frame that already is partitioned so writes one file each."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        if bucket is None:
+            df.write.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            table_ = f"{self.root.rsplit('/', 1)[-1].replace('-', '_')}_{self.count:04d}"
+            df.write.format("parquet").option("path", path).bucketBy(n, bucket).saveAsTable(table_)
+            out = self.spark.table(table_)
+            out._workspace_table = table_  # noqa: SLF001
         out._workspace_path = path  # noqa: SLF001
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
-            path = getattr(df, "_workspace_path", None)
+            table_, path = getattr(df, "_workspace_table", None), getattr(df, "_workspace_path", None)
+            if table_:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table_}")
             if path:
                 _delete(self.spark, path)
