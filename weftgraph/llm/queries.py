@@ -48,8 +48,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each document of a group with different texts, and the smallest id of its group."""
     g = visually_equal_groups(table(spark, d, "documents"))
-    first = g.groupBy("skeleton_hash").agg(F.min("id").alias("group_id"))
-    return g.join(first, "skeleton_hash").select(F.col("id").alias("doc_id"), "group_id")
+    first = g.groupBy("s0", "s1").agg(F.min("id").alias("group_id"))
+    return g.join(first, ["s0", "s1"]).select(F.col("id").alias("doc_id"), "group_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_groups)}

@@ -19,12 +19,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.session import Workspace
+
 # Each line holds a prototype and the letters of other scripts drawn like it.
 LOOK_ALIKES = """
 A ΑАᎪ
@@ -189,11 +192,12 @@ def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> Da
 
 
 def skeleton_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, skeleton_hash) of every document with something visible.
+    """(id, t0, t1, s0, s1) of every document with something visible: 128-bit digests (xxh3)
+    of its text and of its skeleton, as two whole numbers each, which group and join in hash
+    aggregates and unboxed sorts.
 
-    Digests are 128 bits wide (xxh3), so at 10^12 documents a collision is still unlikely
-    (about 10^-15).  Texts that are null or have no visible character are left out: they
-    show nothing that could read the same.
+    At 10^12 documents a collision is still unlikely (about 10^-15).  Texts that are null or
+    have no visible character are left out: they show nothing that could read the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,27 +210,27 @@ def skeleton_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 ids.append(i)
                 own.append(digest(t.encode("utf-8", "surrogatepass")))
                 alike.append(digest(s.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.column(0).type), pa.array(own, pa.binary()), pa.array(alike, pa.binary())],
-                names=["id", "text_hash", "skeleton_hash"],
-            )
+            halves = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (own, alike)]
+            columns = [pa.array(np.ascontiguousarray(h[:, k])) for h in halves for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *columns], names=["id", "t0", "t1", "s0", "s1"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, text_hash binary, skeleton_hash binary")
+    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, t0 bigint, t1 bigint, s0 bigint, s1 bigint")
 
 
 def visually_equal_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, skeleton_hash) of the documents whose skeleton is shared by at least
-    two different texts.  A group of exact copies alone is no case, however large it is:
-    min and max of the text digest decide, so nothing is collected per group."""
-    all_ = skeleton_digests(docs, id_col, text)
-    mixed = (
-        all_.groupBy("skeleton_hash")
-        .agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
-        .filter("a <> b")
-        .select("skeleton_hash")
-    )
-    return all_.join(mixed, "skeleton_hash", "left_semi")
+    """(id, t0, t1, s0, s1) of the documents whose skeleton is shared by at least two
+    different texts; null ids and rows delivered twice are gone.
+
+    Digests are written once, so texts are read and folded once.  A group of exact copies
+    alone is no case, however large: the least and largest digest of its texts decide, so
+    nothing is collected per group.
+    """
+    ws = Workspace(docs.sparkSession)
+    all_ = ws.keep(skeleton_digests(docs, id_col, text), "digests")
+    span = [f(c).alias(f"{n}{c}") for c in ("t0", "t1") for n, f in (("a", F.min), ("b", F.max))]
+    mixed = all_.groupBy("s0", "s1").agg(*span).filter("at0 <> bt0 OR at1 <> bt1").select("s0", "s1")
+    return ws.keep(all_.join(mixed, ["s0", "s1"], "left_semi").filter("id IS NOT NULL").distinct(), "groups")
 
 
 def visually_equal_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,7 +239,9 @@ def visually_equal_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Exact copies are never paired with each other.  Rows delivered twice under one id count
     once; null ids are left out.  An empty table gives no rows.
     """
-    g = visually_equal_groups(docs, id_col, text).filter(F.col("id").isNotNull()).distinct()
+    g = visually_equal_groups(docs, id_col, text)
     a, b = g.alias("a"), g.alias("b")
-    on = (F.col("a.skeleton_hash") == F.col("b.skeleton_hash")) & (F.col("a.text_hash") != F.col("b.text_hash")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    same = (F.col("a.s0") == F.col("b.s0")) & (F.col("a.s1") == F.col("b.s1"))
+    other = (F.col("a.t0") != F.col("b.t0")) | (F.col("a.t1") != F.col("b.t1"))
+    pairs = a.join(b, same & other & (F.col("a.id") < F.col("b.id")))
+    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
