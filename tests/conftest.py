@@ -13,8 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     os.environ["TZ"] = "UTC"
     s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[2]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

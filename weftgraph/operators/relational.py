@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.order import number_rows
+from weftgraph.session import Workspace
 
 NO_MATCH = -1
 
@@ -130,6 +131,34 @@ def products(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "mid").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("products"))
 
 
+class PreparedSegments:
+    """Segments laid out once, for many arrays: (pos, seg) is written bucketed by position,
+    so applying it to an array of the same positions moves only that array."""
+
+    def __init__(self, places: DataFrame, pos: str = "pos", seg: str = "seg") -> None:
+        ws = Workspace(places.sparkSession)
+        n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.pos, self.seg = pos, seg
+        self.places = ws.keep(places.select(pos, seg).repartition(n, pos), "segments", bucket=pos)
+
+    def apply(self, data: DataFrame, aggregate: Column, to: str = "value") -> DataFrame:
+        """(seg, to) of an array (pos, ...)."""
+        return self.places.join(data, self.pos).groupBy(self.seg).agg(aggregate.alias(to))
+
+
+class PreparedMatrix:
+    """A sparse matrix laid out once, for many vectors: written bucketed by column, so a
+    product moves the vector and the partial sums of rows."""
+
+    def __init__(self, matrix: DataFrame) -> None:
+        ws = Workspace(matrix.sparkSession)
+        n = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.matrix = ws.keep(matrix.select("row", "col", "value").repartition(n, "col"), "matrix", bucket="col")
+
+    def apply(self, x: DataFrame, rows: DataFrame | None = None, semiring=PLUS_TIMES, unary: bool = False) -> DataFrame:  # noqa: ANN001
+        return spmv(self.matrix, x, rows, semiring, unary)
+
+
 def column_ranges(matrix: DataFrame) -> DataFrame:
     """(row, first_col, last_col) of each row with elements."""
     return matrix.groupBy("row").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"))

@@ -101,6 +101,36 @@ _add("spmv_indirect", f"""WITH {MATRIX}, {_X}, y AS (SELECT row, sum(value * x)
      lambda s, d: relational.spmv_indirect(part_supplier(s, d), _x(s, d), _parts(s, d).withColumn("source", F.col("row") * 11 % 1500)))
 
 
+def _two_products(s: SparkSession, d: str) -> DataFrame:
+    """One layout of the matrix, two vectors."""
+    m = relational.PreparedMatrix(part_supplier(s, d))
+    x = _x(s, d)
+    one, two = m.apply(x).withColumnRenamed("y", "y1"), m.apply(x.select("col", (F.col("x") + 1).alias("x"))).withColumnRenamed("y", "y2")
+    return one.join(two, "row")
+
+
+_add("spmv_prepared", f"WITH {MATRIX}, {_X} SELECT row, sum(value * x) AS y1, sum(value * (x + 1)) AS y2 FROM m JOIN x USING (col) GROUP BY row", _two_products)
+
+
+def _two_reductions(s: SparkSession, d: str) -> DataFrame:
+    o = array_o(s, d)
+    p = relational.PreparedSegments(o.select("pos", F.col("key").alias("seg")))
+    return p.apply(o.select("pos", "val"), F.sum("val"), "a").join(p.apply(o.select("pos", (F.col("val") * 2 + 1).alias("val")), F.max("val"), "b"), "seg")
+
+
+_add("seg_reduce_prepared", f"WITH {O} SELECT key AS seg, CAST(sum(val) AS BIGINT) AS a, max(val * 2 + 1) AS b FROM o GROUP BY key", _two_reductions)
+
+
+def _runs_prepared(s: SparkSession, d: str) -> DataFrame:
+    b = array_b(s, d)
+    p = relational.PreparedSegments(order.runs(b, "pos", "key", "run"), seg="run")
+    return p.apply(b, F.sum("val"), "total").join(p.apply(b, F.count("*"), "n"), "run")
+
+
+_add("reduce_by_key_prepared", f"""WITH {B}, f AS (SELECT *, CASE WHEN lag(key) OVER (ORDER BY pos) IS DISTINCT FROM key THEN 1 ELSE 0 END AS n FROM b),
+    r AS (SELECT *, sum(n) OVER (ORDER BY pos) - 1 AS run FROM f) SELECT CAST(run AS BIGINT) AS run, CAST(sum(val) AS BIGINT) AS total, count(*) AS n FROM r GROUP BY run""", _runs_prepared)
+
+
 def _bt(s: SparkSession, d: str) -> DataFrame:
     """The matrix transposed, with parts folded to 50 columns."""
     return part_supplier(s, d).select(F.col("col").alias("row"), (F.col("row") % 50).alias("col"), "value")
