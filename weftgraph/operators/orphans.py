@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,16 @@ class Extents:
 
     keys: np.ndarray
     tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]  # start of each key, times, extents
+    indexes: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def _index(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct times of a table, and its rows as (key number, time rank) in one number; made once."""
+        if name not in self.indexes:
+            starts, times, _ = self.tables[name]
+            distinct = np.unique(times)
+            owner = np.repeat(np.arange(len(self.keys)), np.diff(starts))
+            self.indexes[name] = distinct, owner * (len(distinct) + 1) + np.searchsorted(distinct, times, "right")
+        return self.indexes[name]
 
     @classmethod
     def of(cls, key: np.ndarray, extent: np.ndarray, begin: np.ndarray, end: np.ndarray, known: np.ndarray) -> Extents:
@@ -67,10 +77,8 @@ class Extents:
         starts, times, sizes = self.tables[name]
         if not len(times) or not len(self.keys):
             return np.full(len(key), -1, np.int64)
-        distinct = np.unique(times)
+        distinct, composite = self._index(name)
         width = len(distinct) + 1
-        owner = np.repeat(np.arange(len(self.keys)), np.diff(starts))
-        composite = owner * width + np.searchsorted(distinct, times, "right")
         k = np.maximum(key, 0)
         i = np.searchsorted(composite, k * width + np.searchsorted(distinct, time, "right"), "right") + shift
         ok = (key >= 0) & (i >= starts[k]) & (i < starts[k + 1])
