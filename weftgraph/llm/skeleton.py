@@ -240,8 +240,11 @@ def visually_equal_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     once; null ids are left out.  An empty table gives no rows.
     """
     g = visually_equal_groups(docs, id_col, text)
-    a, b = g.alias("a"), g.alias("b")
-    same = (F.col("a.s0") == F.col("b.s0")) & (F.col("a.s1") == F.col("b.s1"))
-    other = (F.col("a.t0") != F.col("b.t0")) | (F.col("a.t1") != F.col("b.t1"))
-    pairs = a.join(b, same & other & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    # Pairs are formed between different texts, one row each, and then given their documents:
+    # a text with a third of all rows costs what it puts out, not its square.
+    classes = g.select("s0", "s1", "t0", "t1").distinct()
+    other = classes.toDF("s0", "s1", "u0", "u1")
+    texts = classes.join(other, ["s0", "s1"]).filter("t0 < u0 OR (t0 = u0 AND t1 < u1)").select("t0", "t1", "u0", "u1")
+    left = texts.join(g.select("t0", "t1", F.col("id").alias("x")), ["t0", "t1"])
+    both = left.join(g.select(F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("id").alias("y")), ["u0", "u1"])
+    return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
