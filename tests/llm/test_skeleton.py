@@ -2,13 +2,14 @@ import unicodedata
 
 import pytest
 
-from weftgraph.llm.skeleton import prototypes, skeleton, visually_equal_pairs, with_skeleton
+from weftgraph.llm.skeleton import LOOK_ALIKES, prototypes, skeleton, visually_equal_pairs, with_skeleton
 
 SAME = [
     ("Ｏｆｆｅｒ　１２！", "Offer 12!"), ("café", "café"), ("o­ff​⁠er﻿", "offer"),
     ("a b c d", "a b c d"), ("Dеаr frіеnd", "Dear friend"), ("ﬁne ﬂow", "fine flow"), ("ΑΒΕ νow", "ABE vow"),
     ("각", "각"), ("ｶﾞ", "ガ"), ("≠", "≠"), ("K", "K"), ("\U0001d41a\U0001d44f", "ab"), ("Ⅷ", "VIII"), ("ɡo", "go"),
     ("ệ", "ệ"), ("ệ", "ệ"),
+    ("\u0455elf \u0430nd \u03bdow", "self and vow"), ("\u1ec7", "e\u0323\u0302"), ("\u00e9", "e\u0301"),
 ]
 DIFFERENT = [("a", "A"), ("e", "\u00e9"), ("O", "0"), ("l", "1"), ("I", "l"), ("a.", "a!"), ("a b", "a  b"), ("a\nb", "a b"), ("ß", "ss"), ("ı", "i"), ("x²", "x2"), ("№", "No"), ("½", "1/2"), ("đ", "d"), ("’", "'"), ("…", "...")]
 
@@ -23,6 +24,12 @@ def test_different(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+def test_each_look_alike_has_one_prototype():
+    alike = [c for line in LOOK_ALIKES.splitlines() for c in line.split(" ")[1]]
+    assert len(alike) == len(set(alike)) and all(len(c) == 1 and unicodedata.category(c)[0] == "L" for c in alike)
+    assert not set(alike) & {line[0] for line in LOOK_ALIKES.splitlines()}
+
+
 def test_skeleton_is_a_fixed_point():
     for code, to in prototypes().items():
         s = skeleton(chr(code))
@@ -48,3 +55,9 @@ def test_column(make):
     assert [tuple(r) for r in with_skeleton(d).orderBy("doc_id").collect()] == [(1, "ａ", "x", "a"), (2, None, "y", None)]
     with pytest.raises(ValueError, match="there already"):
         with_skeleton(d, to="lang")
+
+
+def test_many_copies_and_one_variant(make):
+    rows = [(i, "Dear friend") for i in range(30_000)] + [(30_000, "De\u0430r friend")]
+    got = visually_equal_pairs(make(rows, "doc_id long, text string"))
+    assert got.count() == 30_000 and got.filter("id_b <> 30000").count() == 0

@@ -85,7 +85,6 @@ y у
 Φ Ф
 π п
 φ ф
-ƨ ѕ̵
 """.strip()
 
 INVISIBLE_CATEGORIES = ("Cf", "Cc")
