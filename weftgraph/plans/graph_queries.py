@@ -86,7 +86,7 @@ def bfs_traversed_edges(spark: SparkSession, d: str) -> DataFrame:
     return stats.traversed_edges(g, bfs(g, [1], iter_num=2))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT id, level, {k}::BIGINT AS source FROM (WITH RECURSIVE {CO}, {_bfs_sql(source=k)} {LEVELS})" for k in (1, 2)))
 def bfs_per_source(spark: SparkSession, d: str) -> DataFrame:
     return per_source(bfs, copurchase(spark, d), [1, 2])
 

@@ -45,7 +45,10 @@ def component_count(labels: DataFrame, column: str = "component") -> DataFrame:
 
 
 def adjacency(graph: Graph) -> DataFrame:
-    """(id, out, into): sorted neighbour lists of each vertex, empty for none."""
+    """(id, out, into): sorted neighbour lists of each vertex, empty for none.
+
+    One row holds all neighbours of a vertex, as the form demands; it is a dump for graphs
+    whose largest degree fits a row, not a step of any algorithm here."""
     out = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("out"))
     into = graph.edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("into"))
     none = F.array().cast("array<bigint>")
