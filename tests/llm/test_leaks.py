@@ -69,3 +69,25 @@ def test_nothing(spark, docs, items):
     assert leaked_items(spark, docs, items.limit(0)).count() == 0
     assert leaked_items(spark, docs.limit(0), items).count() == 0
     assert len(Phrases.of([(1, "a b")], 12).matrix) == 0
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<a href="http://ferolm.example/409\n\n', "\n--\nquilbrun82 > everything"),
+        ('<a href="http://ferolm.example/409 ', ' he said "so">'),
+        ('[quote]<a href="http://korvane.example/685[/quote]\n', "\n> quoted"),
+        ("[I wrote: ", "]"),
+        ("[url=http://ferolm.example/409\n\n", "\n[1]"),
+        ("x <y and ", " > z"),
+        ("<!see ", ">"),
+    ],
+)
+def test_text_behind_broken_tags_is_searched(before, after):
+    w = words(before + PASSAGE + after)
+    assert " ".join(words(PASSAGE)) in " ".join(w)
+
+
+def test_tags_with_their_attributes_are_no_words():
+    assert words('<img src=a.png alt="a > b" hidden/>x<td nowrap>y</td ><br/>[img width=5 alt="a b"]z<!DOCTYPE html>') == ["x", "y", "z"]
+    assert words('one <a href="http://ferolm.example/409\ntwo <a href="x" title="a b">three</a> [url=http://ferolm.example/409\nfour') == ["one", "two", "three", "four"]

@@ -28,8 +28,26 @@ from weftgraph.llm.skeleton import LOOK_ALIKES, skeleton
 
 # Names of bracket tags of forum markup.
 BRACKET_TAGS = "b i u s quote code url img size color colour list li spoiler center left right font email sub sup pre table tr td th youtube video"
-_BRACKET = re.compile(r"\[/?(?:" + "|".join(BRACKET_TAGS.split()) + r")(?:[= ][^\[\]]*)?\]", re.I)
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>", re.S)
+# Attributes of markup that stand without a value.
+BARE_ATTRIBUTES = (
+    "allowfullscreen async autofocus autoplay checked clear compact controls declare default defer deleted disabled hidden inert ismap itemscope "
+    "loop multiple muted nohref noresize noshade novalidate nowrap open playsinline readonly required reversed selected"
+)
+# A tag is its name and well-formed attributes, so one that is never closed cannot reach over
+# the text behind it to some later bracket; of such a tag the name and each attribute up to
+# white space are removed.
+_NAME, _SET = r"[^\s<>/=\"'\[\]]++\s*+=\s*+", r"(?:\"[^\"<\r\n]*+\"|'[^'<\r\n]*+'|[^\s\"'<>]++)"
+_ATTRIBUTE = rf"(?:(?:\s++|(?<=[\"'])){_NAME}{_SET}|\s++(?:{'|'.join(BARE_ATTRIBUTES.split())})(?![^\s/>]))"
+# Letters of a tag's name may have invisible characters between them.
+_ELEMENT = r"[A-Za-z](?:[\w:.-]|[\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff])*+"
+_TAG = re.compile(
+    rf"<!--.*?-->|</?{_ELEMENT}{_ATTRIBUTE}*+\s*+/?>|<{_ELEMENT}(?:\s++{_NAME}[\"'][^\s\"'<>\[]*+[\"']?)++"
+    r"|<![A-Za-z]++(?:\s++[\w:.-]++)?(?:\s++(?:PUBLIC|SYSTEM))?(?:\s++(?:\"[^\"<\r\n]*+\"|'[^'<\r\n]*+'))*+\s*+>",
+    re.S | re.I,
+)
+_BRACKET = re.compile(
+    rf"\[/?(?:{'|'.join(BRACKET_TAGS.split())})(?:(?:=[^\[\]\r\n]*+|(?:\s++[^\s\[\]=]++=(?:\"[^\"\[\]\r\n]*+\"|[^\s\[\]]++))++\s*+)?\]|=[^\s\[\]]*+)", re.I
+)
 _WORD = re.compile(r"[^\W_]+")
 
 
