@@ -91,3 +91,8 @@ def test_text_behind_broken_tags_is_searched(before, after):
 def test_tags_with_their_attributes_are_no_words():
     assert words('<img src=a.png alt="a > b" hidden/>x<td nowrap>y</td ><br/>[img width=5 alt="a b"]z<!DOCTYPE html>') == ["x", "y", "z"]
     assert words('one <a href="http://ferolm.example/409\ntwo <a href="x" title="a b">three</a> [url=http://ferolm.example/409\nfour') == ["one", "two", "three", "four"]
+
+
+@pytest.mark.parametrize("c", ["\x00", "\x08", "\x0b", "\x0c", "\x0e", "\x1f", "\x7f"])
+def test_invisible_controls_do_not_split_words_of_ascii_texts(c):
+    assert words(f"arc{c}hive") == words(f"arc{c}hive é")[:1] == ["archive"]

@@ -86,8 +86,6 @@ def words(text: str | None) -> list[str]:
         text = html.unescape(text)
         if "&" in text:
             text = html.unescape(text)
-    if text.isascii():
-        return _WORD.findall(text.lower())
     seen = skeleton(text)
     if seen.isascii():
         return _WORD.findall(seen.lower())
