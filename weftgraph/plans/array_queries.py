@@ -143,6 +143,8 @@ def _at(s: SparkSession, d: str) -> DataFrame:
 _AB = f"{MATRIX}, p AS (SELECT row % 200 AS row, col AS mid, value FROM m), q AS (SELECT col AS mid, row % 50 AS col, value FROM m)"
 _add("spgemm", f"WITH {_AB} SELECT p.row, q.col, sum(p.value * q.value) AS value, count(*) AS n FROM p JOIN q USING (mid) GROUP BY p.row, q.col",
      lambda s, d: relational.spgemm(_at(s, d), _bt(s, d)))
+# The whole product has about as many cells as pairs of parts; no SQL, which would be too slow.
+_add("spgemm_whole", None, lambda s, d: relational.spgemm(part_supplier(s, d), part_supplier(s, d).select(F.col("col").alias("row"), F.col("row").alias("col"), "value")))
 _add("spgemm_products", f"WITH {_AB}, x AS (SELECT mid, count(*) AS n FROM p GROUP BY mid), y AS (SELECT mid, count(*) AS n FROM q GROUP BY mid) SELECT CAST(sum(x.n * y.n) AS BIGINT) AS products FROM x JOIN y USING (mid)",
      lambda s, d: relational.products(_at(s, d), _bt(s, d)))
 _add("column_ranges", f"WITH {MATRIX} SELECT row, min(col) AS first_col, max(col) AS last_col FROM m GROUP BY row", lambda s, d: relational.column_ranges(part_supplier(s, d)))
