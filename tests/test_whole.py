@@ -34,3 +34,18 @@ def test_whole_product(spark, tables):
                 n[p, q] += 1
     got = {(r.row, r.col): (r.value, r.n) for r in array_queries.QUERIES["spgemm_whole"](spark, d).collect()}
     assert got == {k: (float(v), n[k]) for k, v in want.items()} and (1, 401) in got
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "full"])
+def test_whole_joins_with_a_hot_key(spark, tables, kind):
+    a = [(i, 7 if i % 3 == 0 else i % 20) for i in range(1, 61)]
+    b = [(i, 7 if i % 3 == 0 else i % 20 + 10) for i in range(1, 46)]
+    d = tables(part=(a, "p_partkey long, p_size int"), customer=(b, "c_custkey long, c_nationkey int"))
+    want = Counter((k, i, j) for i, k in a for j, m in b if k == m)
+    assert sum(n for (k, _, _), n in want.items() if k == 7) >= 20 * 15
+    if kind in ("left", "full"):
+        want.update((k, i, -1) for i, k in a if k not in dict(map(reversed, b)))
+    if kind in ("right", "full"):
+        want.update((m, -1, j) for j, m in b if m not in dict(map(reversed, a)))
+    got = Counter(map(tuple, array_queries.QUERIES[f"join_{kind}_whole"](spark, d).collect()))
+    assert got == want

@@ -199,7 +199,7 @@ for _name, _g, _s in (("interval_move", True, True), ("interval_gather", True, F
     _add(_name, f"{_INTERVALS} SELECT {'s' if _s else 'place'} + k AS \"to\", o.val FROM e JOIN o ON o.pos = {'g' if _g else 'place'} + k",
          lambda s, d, g=_g, w=_s: order.interval_move(_intervals(s, d), array_o(s, d), gather=g, scatter=w))
 
-# Joins. Keys are narrowed so that pairs stay in proportion to the rows.
+# Joins. Keys are narrowed so that pairs stay in proportion to the rows; the whole ones take the arrays' own keys.
 _JOIN = f"WITH {A}, {B}, x AS (SELECT pos, key * 100 + val AS key FROM a), y AS (SELECT pos, key * 100 + val AS key FROM b)"
 
 
@@ -213,6 +213,8 @@ def _join(kind: str):  # noqa: ANN202
 
 for _k in ("inner", "left", "right", "full"):
     _add(f"join_{_k}", f"{_JOIN} SELECT coalesce(x.key, y.key) AS key, coalesce(x.pos, -1) AS a_pos, coalesce(y.pos, -1) AS b_pos FROM x {_k} JOIN y ON x.key = y.key", _join(_k))
+    _add(f"join_{_k}_whole", f"WITH {A}, {B} SELECT coalesce(a.key, b.key) AS key, coalesce(a.pos, -1) AS a_pos, coalesce(b.pos, -1) AS b_pos FROM a {_k} JOIN b ON a.key = b.key",
+         lambda s, d, k=_k: relational.relational_join(array_a(s, d), array_b(s, d), k))
 _add("semi_join", f"WITH {A}, {B} SELECT pos, key, val FROM a WHERE key IN (SELECT key FROM b)", lambda s, d: relational.semi_join(array_a(s, d), array_b(s, d)))
 _add("anti_join", f"WITH {A}, {B} SELECT pos, key, val FROM a WHERE key NOT IN (SELECT key FROM b)", lambda s, d: relational.anti_join(array_a(s, d), array_b(s, d)))
 
