@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from weftgraph.plans import array_queries
+from weftgraph.plans import array_queries, graph_queries
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,33 @@ def test_whole_joins_with_a_hot_key(spark, tables, kind):
         want.update((m, -1, j) for j, m in b if m not in dict(map(reversed, a)))
     got = Counter(map(tuple, array_queries.QUERIES[f"join_{kind}_whole"](spark, d).collect()))
     assert got == want
+
+
+# A chain of parts in orders of two lines, longer than two hops; sizes on both sides of 5.
+CHAIN = [(1, 2, 3), (2, 3, 1), (3, 4, 8), (4, 5, 2), (4, 2, 5), (6, 1, 4)]
+SIZES = {1: 1, 2: 9, 3: 50, 4: 5, 5: 6, 6: 30, 7: 8}
+SIDES = {"out": [(a, b, w) for a, b, w in CHAIN], "in": [(b, a, w) for a, b, w in CHAIN]}
+SIDES["all"] = SIDES["out"] + SIDES["in"]
+
+
+@pytest.fixture(scope="module")
+def chain(tables):
+    lines = [(o, n, p, 1, float(w)) for o, (a, b, w) in enumerate(CHAIN) for n, p in ((1, a), (2, b))]
+    return tables(
+        part=(list(SIZES.items()), "p_partkey long, p_size int"),
+        lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"),
+    )
+
+
+@pytest.mark.parametrize("name, active", [("{}_whole", SIZES), ("{}", [v for v, size in SIZES.items() if size <= 5])])
+@pytest.mark.parametrize("side", list(SIDES))
+def test_gather_and_expand(spark, chain, side, name, active):
+    run = lambda kind: {tuple(r) for r in graph_queries.QUERIES[name.format(f"{kind}_{side}")](spark, chain).collect()}
+    assert run("gas_gather") == {(v, sum(SIZES[u] + w for x, u, w in SIDES[side] if x == v)) for v in active}
+    sent = [(u, SIZES[v] + w) for v, u, w in SIDES[side] if v in active]
+    assert run("expand") == {(u, min(m for x, m in sent if x == u)) for u, _ in sent}
+
+
+def test_traversed_edges_beyond_two_hops(spark, chain):
+    assert graph_queries.QUERIES["bfs_traversed_edges_whole"](spark, chain).first().traversed == 5
+    assert graph_queries.QUERIES["bfs_traversed_edges"](spark, chain).first().traversed == 3

@@ -86,6 +86,12 @@ def bfs_traversed_edges(spark: SparkSession, d: str) -> DataFrame:
     return stats.traversed_edges(g, bfs(g, [1], iter_num=2))
 
 
+@query(f"WITH RECURSIVE {CO}, {_bfs_sql()} SELECT count(*) AS traversed FROM g JOIN b ON b.v = g.src")
+def bfs_traversed_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    g = copurchase(spark, d)
+    return stats.traversed_edges(g, bfs(g, [1]))
+
+
 @query(" UNION ALL ".join(f"SELECT id, level, {k}::BIGINT AS source FROM (WITH RECURSIVE {CO}, {_bfs_sql(source=k)} {LEVELS})" for k in (1, 2)))
 def bfs_per_source(spark: SparkSession, d: str) -> DataFrame:
     return per_source(bfs, copurchase(spark, d), [1, 2])
@@ -193,19 +199,19 @@ def pagerank_deltas(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank_delta(copurchase(spark, d)))
 
 
-def _gathered(spark: SparkSession, d: str, along: Along) -> DataFrame:
-    """Sum of (size of the neighbour + weight) over the edges of every tenth kind of part, those of size 1 to 5."""
+def _gathered(spark: SparkSession, d: str, along: Along, active: str = "size <= 5") -> DataFrame:
+    """Sum of (size of the neighbour + weight) over the edges of the active parts; unless given, those of size 1 to 5, every tenth kind."""
     from weftgraph.session import table
 
     g = copurchase(spark, d)
     state = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("size"))
-    return gather(state.filter("size <= 5"), state, g.edges, along, lambda s, e: s("size") + e("w"), "sum", 0)
+    return gather(state.filter(active), state, g.edges, along, lambda s, e: s("size") + e("w"), "sum", 0)
 
 
-def _gather_sql(edges: str) -> str:
+def _gather_sql(edges: str, active: str = "f.p_size <= 5") -> str:
     return f"""WITH {CO}, e AS ({edges})
     SELECT f.p_partkey AS id, CAST(coalesce(sum(n.p_size + e.w), 0) AS BIGINT) AS gathered
-    FROM part f LEFT JOIN e ON e.v = f.p_partkey LEFT JOIN part n ON n.p_partkey = e.u WHERE f.p_size <= 5 GROUP BY f.p_partkey"""
+    FROM part f LEFT JOIN e ON e.v = f.p_partkey LEFT JOIN part n ON n.p_partkey = e.u WHERE {active} GROUP BY f.p_partkey"""
 
 
 _OUT, _IN = "SELECT src AS v, dst AS u, w FROM g", "SELECT dst AS v, src AS u, w FROM g"
@@ -226,16 +232,31 @@ def gas_gather_all(spark: SparkSession, d: str) -> DataFrame:
     return _gathered(spark, d, Along.ALL)
 
 
-def _expanded(spark: SparkSession, d: str, along: Along) -> DataFrame:
+@query(_gather_sql(_IN, "true"))
+def gas_gather_in_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _gathered(spark, d, Along.IN, "true")
+
+
+@query(_gather_sql(_OUT, "true"))
+def gas_gather_out_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _gathered(spark, d, Along.OUT, "true")
+
+
+@query(_gather_sql(f"{_OUT} UNION ALL {_IN}", "true"))
+def gas_gather_all_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _gathered(spark, d, Along.ALL, "true")
+
+
+def _expanded(spark: SparkSession, d: str, along: Along, active: str = "p_size <= 5") -> DataFrame:
     from weftgraph.session import table
 
     g = copurchase(spark, d)
-    active = table(spark, d, "part").filter("p_size <= 5").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("size"))
-    return expand(active, g.edges, along, lambda s, e: s("size") + e("w"), "min")
+    sending = table(spark, d, "part").filter(active).select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("size"))
+    return expand(sending, g.edges, along, lambda s, e: s("size") + e("w"), "min")
 
 
-def _expand_sql(edges: str) -> str:
-    return f"WITH {CO}, e AS ({edges}) SELECT e.u AS id, min(p_size + e.w) AS msg FROM part JOIN e ON e.v = p_partkey WHERE p_size <= 5 GROUP BY e.u"
+def _expand_sql(edges: str, active: str = "p_size <= 5") -> str:
+    return f"WITH {CO}, e AS ({edges}) SELECT e.u AS id, min(p_size + e.w) AS msg FROM part JOIN e ON e.v = p_partkey WHERE {active} GROUP BY e.u"
 
 
 @query(_expand_sql(_OUT))
@@ -253,6 +274,21 @@ def expand_all(spark: SparkSession, d: str) -> DataFrame:
     return _expanded(spark, d, Along.ALL)
 
 
+@query(_expand_sql(_IN, "true"))
+def expand_in_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(spark, d, Along.IN, "true")
+
+
+@query(_expand_sql(_OUT, "true"))
+def expand_out_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(spark, d, Along.OUT, "true")
+
+
+@query(_expand_sql(f"{_OUT} UNION ALL {_IN}", "true"))
+def expand_all_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(spark, d, Along.ALL, "true")
+
+
 _DEG = "SELECT p_partkey AS id, count(src) AS degree FROM part LEFT JOIN {0} ON src = p_partkey GROUP BY p_partkey"
 
 
