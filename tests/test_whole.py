@@ -79,3 +79,9 @@ def test_gather_and_expand(spark, chain, side, name, active):
 def test_traversed_edges_beyond_two_hops(spark, chain):
     assert graph_queries.QUERIES["bfs_traversed_edges_whole"](spark, chain).first().traversed == 5
     assert graph_queries.QUERIES["bfs_traversed_edges"](spark, chain).first().traversed == 3
+
+
+def test_counting_reaches_the_largest_key(spark, tables):
+    run = lambda rows: sorted(map(tuple, array_queries.QUERIES["counting_step"](spark, tables(part=(rows, "p_partkey long"))).collect()))
+    assert run([(1,), (10_000_001,)]) == [(1, 8), (10_000_001, 30_000_008)]
+    assert run([]) == []

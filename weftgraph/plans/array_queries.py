@@ -24,6 +24,11 @@ def _add(name: str, sql: str | None, f) -> None:  # noqa: ANN001
         ORACLE_SQL[name] = sql
 
 
+def _counted(s: SparkSession, d: str) -> DataFrame:
+    pos = table(s, d, "part").select(F.col("p_partkey").alias("pos"))
+    return pos.join(elementwise.counting(s, (pos.agg(F.max("pos")).first()[0] or 0) + 1, 5, 3), "pos")
+
+
 # Filters and compaction.
 _add("copy_if", f"WITH {O} SELECT pos, key, val, row_number() OVER (ORDER BY pos) - 1 AS new_pos FROM o WHERE val < 50",
      lambda s, d: order.copy_if(array_o(s, d), "val < 50", "pos"))
@@ -45,7 +50,7 @@ _add("scatter_values", f"WITH {O} SELECT pos * 7 % 4099 AS pos, arg_max(val, pos
 _add("scatter_if", f"WITH {O} SELECT pos * 7 % 4099 AS pos, arg_max(val, pos) AS val FROM o WHERE val % 2 = 0 GROUP BY 1",
      lambda s, d: order.scatter_values(array_o(s, d).withColumn("at", F.col("pos") * 7 % 4099), condition=F.col("val") % 2 == 0))
 _add("counting_step", "SELECT p_partkey AS pos, p_partkey * 3 + 5 AS val FROM part",
-     lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("pos")).join(elementwise.counting(s, 10_000_000, 5, 3), "pos"))
+     _counted)
 
 _BINARY = {"plus": "val + key", "minus": "val - key", "multiplies": "val * key", "modulus": "val % (key + 1)", "bit_or": "val | key", "bit_and": "val & key", "bit_xor": "xor(val, key)", "maximum": "greatest(val, key)", "minimum": "least(val, key)"}
 _COMPARED = {"less": "<", "less_equal": "<=", "greater": ">", "greater_equal": ">=", "equal_to": "=", "not_equal_to": "<>"}
