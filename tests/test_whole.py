@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from graphs import TRIVIAL, graph
+from weftgraph.algorithms.pagerank import pagerank_delta
 from weftgraph.plans import array_queries, graph_queries
 
 
@@ -85,3 +87,9 @@ def test_counting_reaches_the_largest_key(spark, tables):
     run = lambda rows: sorted(map(tuple, array_queries.QUERIES["counting_step"](spark, tables(part=(rows, "p_partkey long"))).collect()))
     assert run([(1,), (10_000_001,)]) == [(1, 8), (10_000_001, 30_000_008)]
     assert run([]) == []
+
+
+def test_deltas_that_have_not_settled_raise(spark):
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        pagerank_delta(graph(spark, TRIVIAL), max_rounds=2)
+    assert pagerank_delta(graph(spark, TRIVIAL), change_tol=0.2, max_rounds=0).count() == 5

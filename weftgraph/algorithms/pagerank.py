@@ -61,15 +61,18 @@ def _rounds(g: Graph, rounds: int, damping: float) -> DataFrame:
 
 def pagerank_delta(graph: Graph, directed: bool = True, damping: float = DAMPING, change_tol: float = CHANGE_TOL, max_rounds: int = 1000) -> DataFrame:
     """(id, rank): only changes travel.  Each vertex keeps what it has not passed on yet and
-    passes it on once it reaches ``change_tol``; ends when no vertex has that much left."""
+    passes it on once it reaches ``change_tol``; ends when no vertex has that much left.
+    More than ``max_rounds`` rounds raise RuntimeError."""
     g = graph.view(directed)
     ws, base = Workspace(g.vertices.sparkSession), round(1 - damping, 12)
     n = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = g.edges.select("src", "dst").repartition(n, "src").persist()
     v = ws.keep(degrees(g).select("id", "degree", F.lit(base).alias("rank"), F.lit(base).alias("due")), "deltas")
-    for _ in range(max_rounds):
-        if not v.filter(F.abs("due") >= change_tol).limit(1).count():
-            break
+    step = 0
+    while v.filter(F.abs("due") >= change_tol).limit(1).count():
+        if step >= max_rounds:
+            e.unpersist()
+            raise RuntimeError(f"vertices still hold {change_tol} or more after {step} rounds")
         sent = v.filter(F.abs("due") >= change_tol)
         got = sent.withColumnRenamed("id", "src").join(e, "src").groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("due") / F.col("degree"))).alias("got"))
         more = F.coalesce("got", F.lit(0.0))
@@ -77,5 +80,6 @@ def pagerank_delta(graph: Graph, directed: bool = True, damping: float = DAMPING
         new = ws.keep(v.join(got, "id", "left").select("id", "degree", (F.col("rank") + more).alias("rank"), (kept + more).alias("due")), "deltas")
         ws.drop(v)
         v = new
+        step += 1
     e.unpersist()
     return v.select("id", "rank")
