@@ -96,3 +96,7 @@ def test_tags_with_their_attributes_are_no_words():
 @pytest.mark.parametrize("c", ["\x00", "\x08", "\x0b", "\x0c", "\x0e", "\x1f", "\x7f"])
 def test_invisible_controls_do_not_split_words_of_ascii_texts(c):
     assert words(f"arc{c}hive") == words(f"arc{c}hive é")[:1] == ["archive"]
+
+
+def test_case_of_letters_whose_capital_has_another_prototype():
+    assert words("ГОРОД Γάμμα") == words("город γάμμα") and words("ꓐꓰꓢꓔ ᴄᴏᴢʏ") == ["best", "cozy"]

@@ -61,3 +61,7 @@ def test_many_copies_and_one_variant(make):
     rows = [(i, "Dear friend") for i in range(30_000)] + [(30_000, "De\u0430r friend")]
     got = visually_equal_pairs(make(rows, "doc_id long, text string"))
     assert got.count() == 30_000 and got.filter("id_b <> 30000").count() == 0
+
+
+def test_more_alphabets_drawn_like_latin():
+    assert skeleton("ꓐꓰꓢꓔ ⲤⲞⲢⲨ 𐐄𐐠 ᴄᴏᴢʏ ιγ") == "BEST COPY OS cozy iy"

@@ -66,7 +66,7 @@ def _case_alike() -> dict[int, str]:
         for c in alike:
             low = small.get(c.lower(), c.lower())
             if to.isupper() and len(low) == 1 and not low.isascii():
-                other[low] = to.lower()
+                other[low] = small.get(to.lower(), to.lower())
     return {ord(c): other.get(to, to) for c, to in small.items()} | {ord(c): to for c, to in other.items()}
 
 

@@ -30,51 +30,52 @@ from weftgraph.session import Workspace
 
 # Each line holds a prototype and the letters of other scripts drawn like it.
 LOOK_ALIKES = """
-A ΑАᎪ
-B ΒВᏴ
-C СϹᏟ
-D Ꭰ
-E ΕЕᎬ
-F Ϝ
-G ԌᏀ
-H ΗНᎻ
-I ΙІӀ
-J ЈᎫͿ
-K ΚКᏦ
-L Ꮮ
-M ΜМᎷϺ
-N Ν
-O ΟОՕ
-P ΡРᏢ
+A ΑАᎪꓮ
+B ΒВᏴꓐ
+C СϹᏟꓚⲤ𐐕
+D Ꭰꓓ
+E ΕЕᎬꓰ
+F Ϝꓝ
+G ԌᏀꓖ
+H ΗНᎻꓧⲎ
+I ΙІӀꓲⲒ
+J ЈᎫͿꓙ
+K ΚКᏦꓗⲔ
+L Ꮮꓡ𐐛
+M ΜМᎷϺꓟⲘ
+N ΝꓠⲚ
+O ΟОՕꓳⲞ𐐄
+P ΡРᏢꓑⲢ
 Q Ԛ
-R Ꭱ
-S ЅᏚՏ
-T ΤТᎢ
-U Ս
-V ᏙѴ
-W ԜᎳ
-X ΧХ
-Y ΥҮ
-Z ΖᏃ
+R Ꭱꓣ
+S ЅᏚՏꓢ𐐠
+T ΤТᎢꓔⲦ
+U Սꓴ
+V ᏙѴꓦ
+W ԜᎳꓪ
+X ΧХꓫⲬ
+Y ΥҮꓬⲨ
+Z ΖᏃꓜ
 a аɑα
-c сϲ
+c сϲᴄⲥ𐐽
 d ԁ
 e е
 g ɡց
 h һհ
-i і
+i іιɪ
 j јϳ
 l ӏ
 n ո
-o οо
-p рρ
+o οоᴏⲟ𐐬
+p рρⲣ
 q ԛ
-s ѕ
-u υս
-v νѵ
-w ԝ
+s ѕꜱ𐑈
+u υսᴜ
+v νѵᴠ
+w ԝᴡ
 x хχ
-y у
+y уγʏ
+z ᴢ
 ĸ κк
 æ ӕ
 ə ә
