@@ -68,3 +68,28 @@ def test_nothing(make, options):
     d, p = frames(make, [(1, 1, 0, 0, 0)], [(1, 1, 1, 0, None)])
     assert find(d.limit(0), p, **options).count() == find(d, p, **options).count() == 0
     assert {(r.field, r.reason) for r in find(d, p.limit(0), **options).collect()} == {("row", "missing"), ("col", "missing")}
+
+
+def test_a_thousand_ranges_are_planned_at_once(make, spark):
+    import time
+
+    parents = [(m, 5, 5, 0, None) for m in range(20_000)]
+    refs = [(i, 7 if i % 3 == 0 else i * 9 % 20_500, 5, i % 7, 4) for i in range(3_000)]
+    d, p = frames(make, refs, parents)
+    found = find(d, p, broadcast_bytes=-1, range_rows=15, rows_per_salt=100)
+    began = time.monotonic()
+    found._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - began < 2
+    assert {(r.id, r.field, r.reason) for r in found.collect()} == brute_fast(refs, dict((m, 5) for m, *_ in parents))
+
+
+def brute_fast(refs, sizes):
+    """For one version of each key that has held since day 0."""
+    return {(i, f, "missing") for i, m, _, r, c in refs for f, x in (("row", r), ("col", c)) if not 0 <= x < sizes.get(m, 0)}
+
+
+def test_versions_that_meet_or_overlap(make):
+    parents = [(1, 4, 4, 0, 10), (1, 2, 2, 10, 20), (1, 9, 9, 20, None), (2, 4, 4, 0, 10), (2, 8, 8, 5, 7), (2, 3, 3, 5, None), (3, 5, 5, 3, 3)]
+    refs = [(k * 100 + t * 10 + x, k, t, x, x) for k in (1, 2, 3) for t in (-1, 0, 3, 5, 6, 7, 9, 10, 15, 20, 30) for x in (0, 2, 3, 7, 8)]
+    for options in ({}, {"broadcast_bytes": -1, "range_rows": 2}):
+        assert {(r.id, r.field, r.reason) for r in find(*frames(make, refs, parents), **options).collect()} == brute(refs, parents)

@@ -6,9 +6,10 @@ of sorted arrays.  References pass by as Arrow batches and are probed by binary
 rows of a batch at once.  Only misses leave a task.
 
 Where all arrays together stay under a bound they are broadcast and references do not move.
-Beyond it, references are sent to (range, salt), with so many salts for a range as its rows
-need, each with a copy of the range's arrays; a task streams through them, so memory is one
-range's arrays and one batch.
+Beyond it, the range of each reference is found by binary search over the ranges' bounds (one
+number each), and references are sent to (range, salt), with so many salts for a range as its
+rows need, each with a copy of the range's arrays; a task streams through them, so memory is
+one range's arrays and one batch.  All versions of one key stand in one range.
 """
 
 from __future__ import annotations
@@ -57,19 +58,14 @@ class Extents:
     def of(cls, key: np.ndarray, extent: np.ndarray, begin: np.ndarray, end: np.ndarray, known: np.ndarray) -> Extents:
         """extent below 0: none; begin NEVER: unknown; end NEVER: open; key ``known`` by any row."""
         keys = np.unique(known)
-        parts: dict[str, list] = {k: [[], [], []] for k in ("hold", "late", "gone")}
-        order = np.argsort(key, kind="stable")
-        key, extent, begin, end = key[order], extent[order], begin[order], end[order]
-        at = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-        for a, b in zip(*at):
-            x, f, t = extent[a:b], begin[a:b], end[a:b]
-            for name, (times, sizes) in {"hold": _holding(x, f, t), "late": _later(x, f), "gone": _ended(x, t)}.items():
-                starts, ts, xs = parts[name]
-                starts.append(len(times))
-                ts.append(times)
-                xs.append(sizes)
-        make = lambda p: (np.concatenate([[0], np.cumsum(p[0])]).astype(np.int64), *(np.concatenate(x).astype(np.int64) if x else np.array([], np.int64) for x in p[1:]))
-        return cls(keys, {k: make(p) for k, p in parts.items()})
+        owner = np.searchsorted(keys, key)
+        began, ended = begin != NEVER, end != NEVER
+        parts = {
+            "hold": _holding(owner, extent, begin, end),
+            "late": _running_max(owner[began], begin[began], extent[began], backward=True),
+            "gone": _running_max(owner[ended], end[ended], extent[ended]),
+        }
+        return cls(keys, {k: (np.searchsorted(o, np.arange(len(keys) + 1)).astype(np.int64), t, x) for k, (o, t, x) in parts.items()})
 
     def size_at(self, name: str, key: np.ndarray, time: np.ndarray, shift: int) -> np.ndarray:
         """For rows of key number ``key`` (-1: none): the extent at the last entry at or before
@@ -104,18 +100,46 @@ class Extents:
             return cls(z["keys"], {k: tuple(z[f"{k}{i}"] for i in range(3)) for k in ("hold", "late", "gone")})
 
 
-def _holding(extent: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Times at which the largest extent that holds changes, and that extent from there on."""
-    import heapq
+def _holding(owner: np.ndarray, extent: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, time, extent): times at which the largest extent that holds changes, and that
+    extent from there on, -1 where none holds; sorted by owner and time.
 
+    Versions that follow each other are their own steps; only owners with versions that
+    overlap need the sweep.
+    """
     some = (begin != NEVER) & (begin < end) & (extent > 0)
-    extent, begin, end = extent[some], begin[some], end[some]
-    order = np.argsort(begin, kind="stable")
+    owner, extent, begin, end = owner[some], extent[some], begin[some], end[some]
+    order = np.lexsort((begin, owner))
+    owner, extent, begin, end = owner[order], extent[order], begin[order], end[order]
+    clash = (owner[1:] == owner[:-1]) & (end[:-1] > begin[1:])
+    mixed = np.unique(owner[1:][clash])
+    plain = ~np.isin(owner, mixed)
+    closed = plain & (end != NEVER)
+    o, t = np.concatenate([owner[plain], owner[closed]]), np.concatenate([begin[plain], end[closed]])
+    x, starts = np.concatenate([extent[plain], np.full(int(closed.sum()), -1, np.int64)]), np.concatenate([np.ones(int(plain.sum()), np.int8), np.zeros(int(closed.sum()), np.int8)])
+    order = np.lexsort((starts, t, o))
+    o, t, x = o[order], t[order], x[order]
+    # Where one version ends as the next begins, the beginning stands.
+    last = np.concatenate([(o[1:] != o[:-1]) | (t[1:] != t[:-1]), np.ones(min(1, len(o)), bool)])
+    swept = []
+    for k in mixed:
+        a, z = np.searchsorted(owner, k, "left"), np.searchsorted(owner, k, "right")
+        times, sizes = _sweep(extent[a:z], begin[a:z], end[a:z])
+        swept.append((np.full(len(times), k, np.int64), times, sizes))
+    o, t, x = (np.concatenate([y, *(w[i] for w in swept)]).astype(np.int64) for i, y in enumerate((o[last], t[last], x[last])))
+    order = np.argsort(o, kind="stable")
+    return o[order], t[order], x[order]
+
+
+def _sweep(extent: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the largest extent among overlapping versions of one owner, sorted by begin."""
+    import heapq
+
     times = np.unique(np.concatenate([begin, end[end != NEVER]]))
     sizes, heap, i = np.full(len(times), -1, np.int64), [], 0
     for k, t in enumerate(times.tolist()):
-        while i < len(order) and begin[order[i]] <= t:
-            heapq.heappush(heap, (-int(extent[order[i]]), int(end[order[i]])))
+        while i < len(begin) and begin[i] <= t:
+            heapq.heappush(heap, (-int(extent[i]), int(end[i])))
             i += 1
         while heap and heap[0][1] <= t:
             heapq.heappop(heap)
@@ -124,16 +148,19 @@ def _holding(extent: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     return times, sizes
 
 
-def _later(extent: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    some = begin != NEVER
-    order = np.argsort(begin[some], kind="stable")
-    return begin[some][order], np.maximum.accumulate(extent[some][order][::-1])[::-1]
-
-
-def _ended(extent: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    some = end != NEVER
-    order = np.argsort(end[some], kind="stable")
-    return end[some][order], np.maximum.accumulate(extent[some][order])
+def _running_max(owner: np.ndarray, time: np.ndarray, extent: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, time, extent) sorted by owner and time, each extent the largest of its owner up to there, or from there on."""
+    order = np.lexsort((time, owner))
+    owner, time, extent = owner[order], time[order], extent[order]
+    distinct, rank = np.unique(extent, return_inverse=True)
+    if backward:
+        owner, rank = owner[::-1], rank[::-1]
+    # One accumulation for all owners: each later owner starts above all ranks of those before.
+    turn = np.cumsum(np.concatenate([np.zeros(min(1, len(owner)), np.int64), (owner[1:] != owner[:-1]).astype(np.int64)]))
+    largest = np.maximum.accumulate(turn * (len(distinct) + 1) + rank) - turn * (len(distinct) + 1)
+    if backward:
+        owner, largest = owner[::-1], largest[::-1]
+    return owner, time, distinct[largest] if len(distinct) else extent
 
 
 def _numbers(col: pa.Array, null: int) -> np.ndarray:
@@ -166,7 +193,7 @@ def dangling_references(
     n_fields = len(fields)
     p = parents.select(F.col(f"`{parent_key}`").cast("bigint").alias("key"), F.col(f"`{begin}`").alias("begin"), F.col(f"`{end}`").alias("end"), *(F.col(f"`{indexes[c]}`").cast("bigint").alias(f"x{i}") for i, c in enumerate(fields)))
     p = p.filter("key IS NOT NULL").distinct()
-    ranges = max(1, -(-p.count() // range_rows))
+    tasks = max(1, -(-p.count() // max(range_rows, RANGE_ROWS)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -174,10 +201,17 @@ def dangling_references(
             return
         t = pa.Table.from_batches(got)
         key, f, e = _numbers(t["key"], 0), _numbers(t["begin"], NEVER), _numbers(t["end"], NEVER)
-        data = [Extents.of(key, _numbers(t[f"x{i}"], -1), f, e, key).pack() for i in range(n_fields)]
-        yield pa.RecordBatch.from_pydict({"low": pa.array([key.min()], pa.int64()), "arrays": pa.array([data], pa.list_(pa.binary()))})
-
-    packed = ws.keep(p.repartitionByRange(ranges, "key").mapInArrow(pack, "low bigint, arrays array<binary>"), "parents")
+        extents = [_numbers(t[f"x{i}"], -1) for i in range(n_fields)]
+        order = np.argsort(key, kind="stable")
+        # Ranges of about range_rows rows, cut where the key changes.
+        in_order = key[order]
+        cuts = np.unique(np.searchsorted(in_order, in_order[::range_rows], "left"))
+        for a, z in zip(cuts, [*cuts[1:], len(order)]):
+            at = order[a:z]
+            data = [Extents.of(key[at], x[at], f[at], e[at], key[at]).pack() for x in extents]
+            yield pa.RecordBatch.from_pydict({"low": pa.array([key[at[0]]], pa.int64()), "arrays": pa.array([data], pa.list_(pa.binary()))})
+
+    packed = ws.keep(p.repartitionByRange(tasks, "key").mapInArrow(pack, "low bigint, arrays array<binary>"), "parents")
     size, n = packed.agg(F.sum(F.expr("aggregate(arrays, 0L, (s, x) -> s + length(x))")), F.count("*")).first()
     # Index columns are checked here: a row whose indexes are all null refers to nothing.
     r = refs.select(F.col(f"`{ref_id}`").alias("id"), F.col(f"`{ref_key}`").cast("bigint").alias("key"), F.col(f"`{ref_time}`").alias("time"), *(F.col(f"`{c}`").cast("bigint").alias(f"x{i}") for i, c in enumerate(fields)))
@@ -218,31 +252,53 @@ def dangling_references(
 
         out = r.mapInArrow(run, schema)
     else:
-        lows = sorted(x.low for x in packed.select("low").collect())  # one number for each range
-        bounds = F.array(*(F.lit(x) for x in lows))
-        # The position of the last bound that is not larger, by a search in halves.
-        at = F.lit(0)
-        for half in (1 << b for b in range(len(lows).bit_length() - 1, -1, -1)):
-            at = F.when((at + half < len(lows)) & (F.get(bounds, at + half) <= F.col("key")), at + half).otherwise(at)
-        with_range = r.withColumn("range", F.coalesce(at, F.lit(0)))
-        counts = with_range.groupBy("range").agg(F.ceil(F.count("*") / rows_per_salt).cast("int").alias("salts"))
-        salts = {x["range"]: x.salts for x in counts.collect()}  # one number for each range
-        of_range = F.element_at(F.create_map(*(F.lit(x) for k, v in salts.items() for x in (k, v))), F.col("range")) if salts else F.lit(1)
-        left = with_range.withColumn("salt", F.pmod(F.xxhash64("id"), of_range).cast("int")).select("range", "salt", F.lit(1).alias("is_ref"), F.lit(None).cast("array<binary>").alias("arrays"), *r.columns)
-        empty = [F.lit(None).cast(t).alias(c) for c, t in r.dtypes]
-        number = F.create_map(*(F.lit(x) for k, low in enumerate(lows) for x in (low, k)))
-        right = packed.withColumn("range", F.element_at(number, F.col("low"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(of_range, F.lit(1)) - 1)))
-        right = right.select("range", "salt", F.lit(0).alias("is_ref"), "arrays", *empty)
-        tasks = max(1, sum(salts.values()))
+        spark, own = refs.sparkSession, r.columns
+        lows = np.sort(np.array([x.low for x in packed.select("low").collect()], np.int64))  # one number for each range
+        bounds = spark.sparkContext.broadcast(lows)
+
+        def place(key: pa.Array) -> np.ndarray:
+            return np.maximum(np.searchsorted(bounds.value, _numbers(key, ALWAYS), "right") - 1, 0)
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(max(1, len(bounds.value)), np.int64)
+            for b in batches:
+                seen += np.bincount(place(b["key"]), minlength=len(seen))
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["range", "n"])
+
+        counts = r.select("key").mapInArrow(tally, "range bigint, n bigint").groupBy("range").agg(F.sum("n").alias("n")).collect()  # one number for each range
+        salts, total = np.ones(max(1, len(lows)), np.int64), sum(x.n for x in counts)
+        for x in counts:
+            salts[x["range"]] = -(-x.n // rows_per_salt)
+        shares = spark.sparkContext.broadcast(salts)
+        moving = F.lit(None).cast("array<binary>").alias("arrays")
+        layout = f"range bigint, salt bigint, is_ref int, arrays array<binary>, {', '.join(f'`{c}` {t}' for c, t in r.dtypes)}"
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = place(b["key"])
+                salt = _numbers(b["h"], 0) % shares.value[at]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(salt), pa.array(np.ones(len(at), np.int32)), b["arrays"], *(b[c] for c in own)], names=["range", "salt", "is_ref", "arrays", *own])
+
+        def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k, at in enumerate(place(b["key"])):
+                    row, zero = b.slice(k, 1), pa.array([0], pa.int32())
+                    for salt in range(shares.value[at]):
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([salt], pa.int64()), zero, row["arrays"], *(row[c] for c in own)], names=["range", "salt", "is_ref", "arrays", *own])
+
+        left = r.select(F.xxhash64("id").alias("h"), moving, *r.columns).mapInArrow(send, layout)
+        right = packed.select(F.col("low").alias("key"), "arrays", *(F.lit(None).cast(t).alias(c) for c, t in r.dtypes if c != "key")).mapInArrow(copy, layout)
+        parts = int(min(salts.sum(), max(spark.sparkContext.defaultParallelism, -(-4 * total // rows_per_salt))))
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, extents = None, None
             for b in batches:
-                own = np.stack([np.asarray(b["range"]), np.asarray(b["salt"])])
-                cuts = np.flatnonzero((np.diff(own, axis=1) != 0).any(axis=0)) + 1
+                pair = np.stack([np.asarray(b["range"]), np.asarray(b["salt"])])
+                cuts = np.flatnonzero((np.diff(pair, axis=1) != 0).any(axis=0)) + 1
                 for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
                     t = b.slice(a, z - a)
-                    if (group := (own[0, a], own[1, a])) != now:
+                    if (group := (pair[0, a], pair[1, a])) != now:
                         now, extents = group, None
                     while t.num_rows and not t["is_ref"][0].as_py():
                         extents = [Extents.unpack(x.as_py()) for x in t["arrays"][0]]
@@ -250,7 +306,7 @@ def dangling_references(
                     if t.num_rows:
                         yield from probe(t, lambda key, e=extents: [(slice(None), e)] if e else [])
 
-        moved = left.unionByName(right).repartition(tasks, "range", "salt").sortWithinPartitions("range", "salt", "is_ref")
+        moved = left.unionByName(right).repartition(parts, "range", "salt").sortWithinPartitions("range", "salt", "is_ref")
         out = moved.mapInArrow(stream, schema)
     return out.distinct()
 

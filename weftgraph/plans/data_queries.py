@@ -33,10 +33,10 @@ def p2_csr_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.col("seg").alias("row")).agg(F.sum("n").alias("n"))
 
 
-def _dangling(spark: SparkSession, d: str) -> DataFrame:
+def _dangling(spark: SparkSession, d: str, **options: int) -> DataFrame:
     return dangling_references(
         table(spark, d, "matrix_element"), table(spark, d, "sparse_matrix"), "element_id", "matrix_id", "loaded_at",
-        {"row": "height", "col": "width"}, "matrix_id", "valid_from", "valid_to",
+        {"row": "height", "col": "width"}, "matrix_id", "valid_from", "valid_to", **options,
     )
 
 
@@ -44,6 +44,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _dangling(spark, d).select(F.col("id").alias("element_id"), F.col("field").alias("ref_field"), "reason")
 
 
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """p3_found by the way for parents of any number: references move to salted ranges."""
+    return _dangling(spark, d, broadcast_bytes=-1, range_rows=16, rows_per_salt=50_000).select(F.col("id").alias("element_id"), F.col("field").alias("ref_field"), "reason")
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     r = dangling_report(_dangling(spark, d))
     return r.select(F.col("field").alias("ref_field"), F.date_format("month", "yyyy-MM").alias("month"), "reason", "n")
@@ -58,7 +63,7 @@ def p4_elements(spark: SparkSession, d: str) -> DataFrame:
     return e.select("line_id", F.col("owner").alias("matrix_id"), "row", "col", F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_row_stats, p2_row_medians, p2_csr_rows, p3_found, p3_report, p4_found, p4_elements)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_row_stats, p2_row_medians, p2_csr_rows, p3_found, p3_ranges, p3_report, p4_found, p4_elements)}
 
 _DANGLING = """
 WITH m AS (SELECT DISTINCT matrix_id, height, width, valid_from, valid_to FROM sparse_matrix WHERE matrix_id IS NOT NULL),
@@ -119,6 +124,7 @@ ORACLE_SQL = {
         WITH o AS (SELECT DISTINCT matrix_id, seg, csr FROM matrix_csr)
         SELECT a.seg AS row, CAST(sum(b.csr - a.csr) AS BIGINT) AS n FROM o a JOIN o b ON a.matrix_id = b.matrix_id AND b.seg = a.seg + 1 GROUP BY a.seg""",
     "p3_found": f"{_DANGLING} SELECT DISTINCT element_id, ref_field, reason FROM found",
+    "p3_ranges": f"{_DANGLING} SELECT DISTINCT element_id, ref_field, reason FROM found",
     "p3_report": f"{_DANGLING} SELECT ref_field, strftime(loaded_at, '%Y-%m') AS month, reason, count(*) AS n FROM found GROUP BY ALL",
     "p4_found": f"""{_LINES}
         SELECT DISTINCT line_id, CASE WHEN NOT well THEN 'quoting' WHEN NOT complete THEN 'columns' ELSE 'value' END AS reason

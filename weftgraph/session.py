@@ -16,10 +16,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder of this machine serves.
+    Only where that is unset and the master is local (tests), a temporary folder of this machine
+    serves; on a cluster an unset folder raises RuntimeError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,6 +37,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def buckets_for(spark: SparkSession, rows: int, most: int = 4_000_000, least: int = 100_000) -> int:
+    """How many buckets a table of ``rows`` rows gets: at most ``most`` rows in each, and one for
+    each core as long as that leaves ``least`` rows."""
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, -(-rows // least)))
+
+
 class Workspace:
     """Written intermediate tables of one computation.
 
@@ -45,22 +54,34 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex[:12]}"
-        self.count = 0
-        atexit.register(_delete, spark, self.root)
-
-    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None) -> DataFrame:
-        """``df`` written and read back.  With ``bucket`` it becomes a table bucketed by that
-        column into as many buckets as a shuffle has partitions: a later join on the column
-        needs no shuffle of it.  A frame that already is partitioned so writes one file each."""
+        self.count, self.database = 0, self.root.rsplit("/", 1)[-1].replace("-", "_")
+        self.tables = 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Delete all that is left: files, and the catalog's entries with their database."""
+        try:
+            if self.tables:
+                self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        except Exception:  # noqa: BLE001 - the session may have ended, and its catalog with it
+            pass
+        _delete(self.spark, self.root)
+
+    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None, buckets: int = 0) -> DataFrame:
+        """``df`` written and read back.  With ``bucket`` it becomes a table of ``buckets`` buckets
+        by that column, in a database of this workspace: a later join on the column needs no
+        shuffle of it.  A frame that already is partitioned so writes one file each."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}-{name}"
         if bucket is None:
             df.write.parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         else:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            table_ = f"{self.root.rsplit('/', 1)[-1].replace('-', '_')}_{self.count:04d}"
-            df.write.format("parquet").option("path", path).bucketBy(n, bucket).saveAsTable(table_)
+            if not self.tables:
+                self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}/database'")
+            self.tables += 1
+            table_ = f"{self.database}.t{self.count:04d}"
+            df.write.format("parquet").option("path", path).bucketBy(buckets, bucket).sortBy(bucket).saveAsTable(table_)
             out = self.spark.table(table_)
             out._workspace_table = table_  # noqa: SLF001
         out._workspace_path = path  # noqa: SLF001
