@@ -5,10 +5,10 @@ Ranks are not normalised and vertices without out-edges pass nothing on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftgraph.engine import Report, run
+from weftgraph.engine import Layout, Report, run
 from weftgraph.model import Graph
 from weftgraph.program import Along, Program
 from weftgraph.session import Workspace
@@ -45,17 +45,20 @@ def pagerank_fixed(graph: Graph, rounds: int, directed: bool = True, damping: fl
     return run(graph.view(directed), program(damping, 0.0), iter_num=rounds).select("id", "rank") if rounds == 0 else _rounds(graph.view(directed), rounds, damping)
 
 
+def _laid_out(g: Graph) -> tuple[Workspace, Layout, Graph]:
+    ws, seen = Workspace(g.vertices.sparkSession), Observation()
+    edges = ws.keep(g.edges.observe(seen, F.count(F.lit(1)).alias("n")), "graph")
+    return ws, Layout(ws, edges, Along.OUT, seen.get["n"]), Graph(g.vertices, edges)
+
+
 def _rounds(g: Graph, rounds: int, damping: float) -> DataFrame:
-    ws, base = Workspace(g.vertices.sparkSession), round(1 - damping, 12)
-    n = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = g.edges.select("src", "dst").repartition(n, "src").persist()
-    v = ws.keep(degrees(g).withColumn("rank", F.lit(base)), "ranks")
+    base, (ws, out, g) = round(1 - damping, 12), _laid_out(g)
+    v = ws.keep(degrees(g).withColumn("rank", F.lit(base)), "ranks", "id", out.buckets, place=True)
     for _ in range(rounds):
-        got = v.withColumnRenamed("id", "src").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        new = ws.keep(v.select("id", "degree").join(got, "id", "left").select("id", "degree", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks")
+        got = out.join(v).groupBy(F.col("u").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        new = ws.keep(v.join(got, "id", "left").select("id", "degree", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks", "id", out.buckets)
         ws.drop(v)
         v = new
-    e.unpersist()
     return v.select("id", "rank")
 
 
@@ -63,23 +66,22 @@ def pagerank_delta(graph: Graph, directed: bool = True, damping: float = DAMPING
     """(id, rank): only changes travel.  Each vertex keeps what it has not passed on yet and
     passes it on once it reaches ``change_tol``; ends when no vertex has that much left.
     More than ``max_rounds`` rounds raise RuntimeError."""
-    g = graph.view(directed)
-    ws, base = Workspace(g.vertices.sparkSession), round(1 - damping, 12)
-    n = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = g.edges.select("src", "dst").repartition(n, "src").persist()
-    v = ws.keep(degrees(g).select("id", "degree", F.lit(base).alias("rank"), F.lit(base).alias("due")), "deltas")
+    base, (ws, out, g) = round(1 - damping, 12), _laid_out(graph.view(directed))
+    waits = F.abs("due") >= change_tol
+
+    def keep(df: DataFrame, place: bool = False) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return ws.keep(df.observe(seen, F.count_if(waits).alias("n")), "deltas", "id", out.buckets, place), seen.get["n"]
+
+    v, waiting = keep(degrees(g).select("id", "degree", F.lit(base).alias("rank"), F.lit(base).alias("due")), place=True)
     step = 0
-    while v.filter(F.abs("due") >= change_tol).limit(1).count():
+    while waiting:
         if step >= max_rounds:
-            e.unpersist()
             raise RuntimeError(f"vertices still hold {change_tol} or more after {step} rounds")
-        sent = v.filter(F.abs("due") >= change_tol)
-        got = sent.withColumnRenamed("id", "src").join(e, "src").groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("due") / F.col("degree"))).alias("got"))
-        more = F.coalesce("got", F.lit(0.0))
-        kept = F.when(F.abs("due") >= change_tol, 0.0).otherwise(F.col("due"))
-        new = ws.keep(v.join(got, "id", "left").select("id", "degree", (F.col("rank") + more).alias("rank"), (kept + more).alias("due")), "deltas")
-        ws.drop(v)
-        v = new
+        got = out.join(v.filter(waits)).groupBy(F.col("u").alias("id")).agg((damping * F.sum(F.col("due") / F.col("degree"))).alias("got"))
+        more, kept = F.coalesce("got", F.lit(0.0)), F.when(waits, 0.0).otherwise(F.col("due"))
+        old = v
+        v, waiting = keep(v.join(got, "id", "left").select("id", "degree", (F.col("rank") + more).alias("rank"), (kept + more).alias("due")))
+        ws.drop(old)
         step += 1
-    e.unpersist()
     return v.select("id", "rank")

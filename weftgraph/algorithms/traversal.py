@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftgraph.engine import Report, gather, run
+from weftgraph.engine import Layout, Report, gather, run
 from weftgraph.model import Graph
 from weftgraph.program import Along, Program
 from weftgraph.session import Workspace
@@ -71,21 +71,29 @@ def sssp(graph: Graph, sources: list[int], directed: bool = True, iter_num: int
 def sssp_pull(graph: Graph, sources: list[int], directed: bool = True) -> DataFrame:
     """The same distances by pulling: vertices next to a changed one take the smallest
     distance over their in-edges until nothing changes."""
-    g, ws = graph.view(directed), Workspace(graph.vertices.sparkSession)
-    start = ids(graph, sources).withColumn("d0", F.lit(0).cast("bigint"))
-    v = ws.keep(g.vertices.join(start, "id", "left").select("id", F.col("d0").alias("dist"), F.col("d0").isNotNull().alias("changed")), "dist")
-    limit = v.count() + 1
-    for _ in range(limit):
-        touched = v.filter("changed").select(F.col("id").alias("src")).join(g.edges, "src").select(F.col("dst").alias("id")).distinct()
-        got = gather(touched, v.select("id", "dist"), g.edges, Along.IN, lambda s, e: s("dist") + e("w"), "min", None)
+    g, ws, seen = graph.view(directed), Workspace(graph.vertices.sparkSession), Observation()
+    edges = ws.keep(g.edges.observe(seen, F.count(F.lit(1)).alias("n")), "graph")
+    out, into = (Layout(ws, edges, along, seen.get["n"]) for along in (Along.OUT, Along.IN))
+
+    def keep(df: DataFrame, place: bool = False) -> tuple[DataFrame, int, int]:
+        o = Observation()
+        kept = ws.keep(df.observe(o, F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed")), "dist", "id", out.buckets, place)
+        return kept, o.get["changed"], o.get["n"]
+
+    start = ids(graph, sources).distinct().withColumn("d0", F.lit(0).cast("bigint"))
+    first = g.vertices.join(start, "id", "left").select("id", F.col("d0").alias("dist"), F.col("d0").isNotNull().alias("changed"))
+    v, changed, n = keep(first, place=True)
+    step = 0
+    while changed:
+        if step > n:
+            raise RuntimeError("distances still fall: there is a negative cycle")
+        touched = out.join(v.filter("changed").select("id")).select(F.col("u").alias("id")).distinct()
+        got = gather(touched, v.select("id", "dist"), into, Along.IN, lambda s, e: s("dist") + e("w"), "min", None)
         better = F.col("gathered").isNotNull() & (F.col("dist").isNull() | (F.col("gathered") < F.col("dist")))
-        new = ws.keep(v.join(got, "id", "left").select("id", F.when(better, F.col("gathered")).otherwise(F.col("dist")).alias("dist"), better.alias("changed")), "dist")
-        ws.drop(v)
-        v = new
-        if not v.filter("changed").limit(1).count():
-            break
-    else:
-        raise RuntimeError("distances still fall: there is a negative cycle")
+        old = v
+        v, changed, _ = keep(v.join(got, "id", "left").select("id", F.when(better, F.col("gathered")).otherwise(F.col("dist")).alias("dist"), better.alias("changed")))
+        ws.drop(old)
+        step += 1
     return v.select("id", F.coalesce("dist", F.lit(UNREACHED_DISTANCE)).alias("dist"))
 
 

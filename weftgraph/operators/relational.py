@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.order import number_rows
-from weftgraph.session import Workspace
+from weftgraph.session import Workspace, buckets_for
 
 NO_MATCH = -1
 
@@ -137,9 +137,9 @@ class PreparedSegments:
 
     def __init__(self, places: DataFrame, pos: str = "pos", seg: str = "seg") -> None:
         ws = Workspace(places.sparkSession)
-        n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets_for(ws.spark, places.count())
         self.pos, self.seg = pos, seg
-        self.places = ws.keep(places.select(pos, seg).repartition(n, pos), "segments", bucket=pos)
+        self.places = ws.keep(places.select(pos, seg), "segments", pos, n, place=True)
 
     def apply(self, data: DataFrame, aggregate: Column, to: str = "value") -> DataFrame:
         """(seg, to) of an array (pos, ...)."""

@@ -10,7 +10,7 @@ from weftgraph.algorithms.components import components
 from weftgraph.algorithms.pagerank import pagerank, pagerank_delta, pagerank_fixed
 from weftgraph.algorithms.traversal import bfs, per_source, predecessors, sssp, sssp_pull
 from weftgraph.engine import expand, gather
-from weftgraph.plans.graphs import BIP, CO, CO_BOTH, EV, TREE, bipartite, copurchase, event_chains, tree
+from weftgraph.plans.graphs import BIP, CO, CO_BOTH, EV, HUB, TREE, bipartite, copurchase, event_chains, hub, tree
 from weftgraph.program import Along
 
 QUERIES: dict = {}
@@ -36,9 +36,9 @@ def _bfs_sql(edges: str = "g", most: int | None = None, source: int = 1) -> str:
         UNION SELECT e.dst, min(b.lvl) + 1 FROM b JOIN {edges} e ON e.src = b.v LEFT JOIN recurring.b r ON r.v = e.dst WHERE r.v IS NULL{cap} GROUP BY e.dst)"""
 
 
-def _sssp_sql(edges: str = "g") -> str:
+def _sssp_sql(edges: str = "g", source: int = 1) -> str:
     return f"""s(v, dist) USING KEY (v) AS (
-        SELECT 1::BIGINT, 0::BIGINT
+        SELECT {source}::BIGINT, 0::BIGINT
         UNION SELECT e.dst, CAST(min(s.dist + e.w) AS BIGINT) FROM s JOIN {edges} e ON e.src = s.v LEFT JOIN recurring.s r ON r.v = e.dst
         WHERE r.v IS NULL OR r.dist > s.dist + e.w GROUP BY e.dst)"""
 
@@ -112,6 +112,18 @@ def sssp_undirected(spark: SparkSession, d: str) -> DataFrame:
     return sssp(copurchase(spark, d), [1], directed=False)
 
 
+@query(f"WITH RECURSIVE {HUB}, {_sssp_sql(source=0)} SELECT id, coalesce(dist, 2147483647) AS dist FROM v LEFT JOIN s ON s.v = v.id")
+def sssp_hub(spark: SparkSession, d: str) -> DataFrame:
+    """A third of all edges leave one vertex, the source."""
+    return sssp(hub(spark, d), [0])
+
+
+@query(f"WITH RECURSIVE {HUB}, h AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), {_bfs_sql('h', source=-2)} SELECT id, coalesce(lvl, -1) AS level FROM v LEFT JOIN b ON b.v = v.id")
+def bfs_hub(spark: SparkSession, d: str) -> DataFrame:
+    """The vertex of a third of all edges is reached on the way."""
+    return bfs(hub(spark, d), [-2], directed=False)
+
+
 @query(f"""WITH {CO}, one AS (SELECT dst AS v, min(w) AS dist FROM g WHERE src = 1 GROUP BY dst),
     two AS (SELECT g.dst AS v, min(one.dist + g.w) AS dist FROM one JOIN g ON g.src = one.v GROUP BY g.dst),
     s AS (SELECT v, min(dist) AS dist FROM (SELECT 1 AS v, 0 AS dist UNION ALL FROM one UNION ALL FROM two) GROUP BY v)

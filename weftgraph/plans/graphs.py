@@ -43,6 +43,16 @@ def bipartite(spark: SparkSession, d: str) -> Graph:
     return Graph.of(v, e)
 
 
+def hub(spark: SparkSession, d: str) -> Graph:
+    """Orders (1 + key) and customers (-1 - key), linked both ways, and vertex 0, from
+    which a third of all edges lead, one to each order."""
+    o = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("o"), (-1 - F.col("o_custkey")).alias("c"))
+    e = o.select(F.lit(0).cast("bigint").alias("src"), F.col("o").alias("dst"), (F.col("o") % 7 + 1).alias("w"))
+    e = e.union(o.select("o", "c", F.lit(2))).union(o.select("c", "o", F.lit(1)))
+    v = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("id")).union(o.select("o")).union(spark.range(1))
+    return Graph.of(v, e)
+
+
 def part_supplier(spark: SparkSession, d: str) -> DataFrame:
     """Sparse matrix part x supplier of quantities, summed."""
     li = table(spark, d, "lineitem")
@@ -79,6 +89,10 @@ g AS (
     UNION ALL SELECT c_nationkey + 100, c_custkey + 1000 FROM customer UNION ALL SELECT o_custkey + 1000, o_orderkey + 10000000 FROM orders)"""
 BIP = """v AS (SELECT -1 - s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey FROM part),
 g AS (SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst FROM lineitem)"""
+HUB = """v AS (SELECT -1 - c_custkey AS id FROM customer UNION ALL SELECT o_orderkey + 1 FROM orders UNION ALL SELECT 0),
+g AS (
+    SELECT 0::BIGINT AS src, o_orderkey + 1 AS dst, (o_orderkey + 1) % 7 + 1 AS w FROM orders
+    UNION ALL SELECT o_orderkey + 1, -1 - o_custkey, 2 FROM orders UNION ALL SELECT -1 - o_custkey, o_orderkey + 1, 1 FROM orders)"""
 MATRIX = "m AS (SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 A = "a AS (SELECT p_partkey AS pos, CAST(p_size AS BIGINT) AS key, p_partkey * 7 % 101 AS val FROM part)"
 B = "b AS (SELECT c_custkey AS pos, CAST(c_nationkey AS BIGINT) AS key, c_custkey * 5 % 97 AS val FROM customer)"

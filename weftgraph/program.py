@@ -20,7 +20,7 @@ class Along(Enum):
 
 
 #: How values that meet at a vertex are combined: an aggregate that combines on the map side.
-COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "any": F.any_value}
+COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "any": lambda c: F.any_value(c, True)}
 
 State = dict[str, Column]
 Get = Callable[[str], Column]
@@ -34,7 +34,9 @@ class Program:
        ``gather_identity`` where there is none;
     2. applies: ``apply(state, gathered or message, superstep)`` gives new state columns, and
        ``changed`` whether neighbours have to hear of it;
-    3. expands the edges of changed vertices, each with message ``expand_edge(state, edge)``;
+    3. expands the edges of changed vertices, of those only for which ``expand_vertex(state,
+       superstep)`` holds, each with message ``expand_edge(state, edge)``, unless ``keep_edge(state,
+       edge)`` is given and not true;
     4. contracts the messages at each vertex by ``combine``; where ``accept(state, message)``
        holds the vertex becomes active with that message, and ``contract`` may set its state.
 
@@ -50,7 +52,9 @@ class Program:
     apply: Callable[[Get, Column, int], State] | None = None
     changed: Callable[[Get, State, Column, int], Column] | None = None
     expand: Along = Along.OUT
+    expand_vertex: Callable[[Get, int], Column] | None = None
     expand_edge: Callable[[Get, Get], Column] | None = None
+    keep_edge: Callable[[Get, Get], Column] | None = None
     combine: str = "any"
     accept: Callable[[Get, Column], Column] | None = None
     contract: Callable[[Get, Column, int], State] | None = None

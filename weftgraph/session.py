@@ -37,10 +37,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def buckets_for(spark: SparkSession, rows: int, most: int = 4_000_000, least: int = 100_000) -> int:
-    """How many buckets a table of ``rows`` rows gets: at most ``most`` rows in each, and one for
-    each core as long as that leaves ``least`` rows."""
-    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, -(-rows // least)))
+def buckets_for(spark: SparkSession, rows: int, most: int = 4_000_000, least: int = 10_000) -> int:
+    """How many buckets a table of ``rows`` rows gets: at most ``most`` rows in each, but no fewer
+    than a shuffle has partitions, as Spark would else move the bucketed side; 0, none at all,
+    where that leaves fewer than ``least`` rows in each and a shuffle costs less than the files."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(parts, -(-rows // most)) if rows >= parts * least else 0
 
 
 class Workspace:
@@ -67,13 +69,14 @@ class Workspace:
             pass
         _delete(self.spark, self.root)
 
-    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None, buckets: int = 0) -> DataFrame:
-        """``df`` written and read back.  With ``bucket`` it becomes a table of ``buckets`` buckets
-        by that column, in a database of this workspace: a later join on the column needs no
-        shuffle of it.  A frame that already is partitioned so writes one file each."""
+    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None, buckets: int = 0, place: bool = False, ordered: bool = False) -> DataFrame:
+        """``df`` written and read back.  With ``buckets`` it becomes a table of so many buckets by
+        the column ``bucket``, in a database of this workspace: a later join on the column needs no
+        shuffle of it.  ``place`` first sends rows to their buckets' tasks, which a frame that is
+        partitioned so needs not; ``ordered`` sorts each bucket by the column."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}-{name}"
-        if bucket is None:
+        if not buckets:
             df.write.parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         else:
@@ -81,7 +84,8 @@ class Workspace:
                 self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}/database'")
             self.tables += 1
             table_ = f"{self.database}.t{self.count:04d}"
-            df.write.format("parquet").option("path", path).bucketBy(buckets, bucket).sortBy(bucket).saveAsTable(table_)
+            writer = (df.repartition(buckets, bucket) if place else df).write.format("parquet").option("path", path).bucketBy(buckets, bucket)
+            (writer.sortBy(bucket) if ordered else writer).saveAsTable(table_)
             out = self.spark.table(table_)
             out._workspace_table = table_  # noqa: SLF001
         out._workspace_path = path  # noqa: SLF001
