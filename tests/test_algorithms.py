@@ -59,9 +59,9 @@ def test_components(small, mini, spark):
     for mode in ("contract", "propagate"):
         assert by_id(components(small, mode), "component") == [0] * 7
         assert by_id(components(mini, mode), "component") == [0, 0, 0, 3, 3, 5]
-    assert by_id(components(mini, small_edges=0), "component") == [0, 0, 0, 3, 3, 5]
+    assert by_id(components(mini, task_rows=0), "component") == [0, 0, 0, 3, 3, 5]
     chain = Graph.of(spark.range(40), spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long"))
-    assert by_id(components(chain, small_edges=0), "component") == [0] * 31 + list(range(31, 40))
+    assert by_id(components(chain, task_rows=0), "component") == [0] * 31 + list(range(31, 40))
     assert stats.component_count(components(mini)).first()[0] == 3
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.algorithms.contract import SMALL_EDGES, hook_and_contract, resolve, simple_edges, smallest_of_group, solve_small
+from weftgraph.algorithms.contract import contract, roots_of, simple_edges, smallest_of_group
 from weftgraph.engine import Report, run
 from weftgraph.model import Graph
+from weftgraph.operators.hot import TASK_ROWS
 from weftgraph.program import Along, Program
 from weftgraph.session import Workspace
 
@@ -23,25 +24,18 @@ CC = Program(
 )
 
 
-def components(graph: Graph, mode: str = "contract", iter_num: int | None = None, small_edges: int = SMALL_EDGES, report: Report | None = None) -> DataFrame:
+def components(graph: Graph, mode: str = "contract", iter_num: int | None = None, task_rows: int = TASK_ROWS, report: Report | None = None) -> DataFrame:
     """(id, component): the smallest id linked with each vertex; isolated vertices label themselves.
 
     ``propagate`` sends labels along edges, one superstep for each step of the diameter, and
     is what ``iter_num`` k (labels from at most k - 1 edges away) needs.  ``contract`` gives
-    the same labels in a number of rounds that grows with the logarithm of the vertices.
+    the same labels in a number of rounds that grows with the logarithm of the vertices, and
+    runs the same way at every size.  Beyond ``task_rows`` rows, hubs are spread.
     """
     if mode == "propagate" or iter_num is not None:
         return run(graph, CC, iter_num=iter_num, report=report)
     ws = Workspace(graph.vertices.sparkSession)
-    edges = ws.keep(simple_edges(graph.edges, "src", "dst"), "edges")
-    removed, n, seed = [], edges.count(), 0
-    while n > small_edges:
-        out, left = hook_and_contract(ws, edges, seed := seed + 1)
-        ws.drop(edges)
-        removed.append(out)
-        edges, n = left, left.count()
-    core = ws.keep(solve_small(edges).withColumnRenamed("parent", "root"), "roots") if n else None
-    roots = resolve(ws, removed, core)
+    roots = roots_of(ws, contract(ws, *ws.counted(simple_edges(graph.edges, "src", "dst"), "edges"), task_rows), task_rows)
     if roots is None:
         return graph.vertices.select("id", F.col("id").alias("component"))
     low = smallest_of_group(ws, roots)

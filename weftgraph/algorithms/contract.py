@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftgraph.operators.hot import TASK_ROWS, spread_join
 from weftgraph.session import Workspace
 
 #: Edges up to which a graph is solved in one task: about 100 MB of Python objects.
@@ -52,6 +53,57 @@ def hook_and_contract(ws: Workspace, edges: DataFrame, seed: int) -> tuple[DataF
     return roots.filter("v <> parent"), ws.keep(left, "left")
 
 
+def contract_round(ws: Workspace, edges: DataFrame, n: int, seed: int, task_rows: int = TASK_ROWS) -> tuple[tuple[DataFrame, int], DataFrame, int]:
+    """((removed: v, parent; at most so many rows), the smaller graph: a, b; its edges) of a graph of ``n`` edges.
+
+    Each vertex hooks to its neighbour of smallest random priority, if that is smaller than
+    its own; pointers are doubled up to the roots; edges are drawn between roots.  Vertices
+    that stay are local minima, so each round leaves about a share 1/(degree + 1) of them,
+    whatever the ids.  A hub, and a root with very many children, are spread over tasks.
+    """
+    of = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("id"))
+    hook = both_ends(edges).groupBy("v").agg(F.min(of("u")).alias("best"))
+    f, rows = ws.counted(hook.select("v", F.when(F.col("best") < of("v"), F.col("best.id")).otherwise(F.col("v")).alias("parent")), "hooks")
+    moved = 1
+    while moved:
+        up = f.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+        seen = Observation()
+        jumped = spread_join(f, up, "parent", "v", rows, task_rows=task_rows).observe(seen, F.count_if(F.col("above") != F.col("parent")).alias("moved"))
+        new = ws.keep(jumped.select("v", F.col("above").alias("parent")), "hooks")
+        ws.drop(f)
+        f, moved = new, seen.get["moved"]
+    one = spread_join(edges, f.toDF("a", "ra"), "a", "b", n, task_rows=task_rows)
+    both = spread_join(one, f.toDF("b", "rb"), "b", "ra", n, task_rows=task_rows)
+    left, m = ws.counted(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "left")
+    return (f.filter("v <> parent"), rows), left, m
+
+
+def contract(ws: Workspace, edges: DataFrame, n: int, task_rows: int = TASK_ROWS) -> list[tuple[DataFrame, int]]:
+    """The removed vertices of all rounds, until no edge is left."""
+    removed, seed = [], 0
+    while n:
+        out, left, n = contract_round(ws, edges, n, seed := seed + 1, task_rows)
+        ws.drop(edges)
+        removed.append(out)
+        edges = left
+    return removed
+
+
+def roots_of(ws: Workspace, removed: list[tuple[DataFrame, int]], task_rows: int = TASK_ROWS) -> DataFrame | None:
+    """(v, root) of all removed vertices, from the parents of each round, last round first."""
+    roots = None
+    for r, rows in reversed(removed):
+        if roots is None:
+            roots = ws.keep(r.withColumnRenamed("parent", "root"), "roots")
+            continue
+        above = roots.select(F.col("v").alias("parent"), F.col("root").alias("above"))
+        up = spread_join(r, above, "parent", "v", rows, "left", task_rows).select("v", F.coalesce("above", "parent").alias("root"))
+        new = ws.keep(up.union(roots.select("v", "root")), "roots")
+        ws.drop(roots, r)
+        roots = new
+    return roots
+
+
 def solve_small(edges: DataFrame) -> DataFrame:
     """(v, parent): the smallest vertex linked with each other vertex, in one task by
     union-find; for graphs of a bounded number of edges."""

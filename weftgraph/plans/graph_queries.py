@@ -132,6 +132,12 @@ def sssp_capped(spark: SparkSession, d: str) -> DataFrame:
     return sssp(copurchase(spark, d), [1], iter_num=3)
 
 
+def _labels_sql(edges: str, ids: str) -> str:
+    return f"""k(v, low) USING KEY (v) AS (
+        SELECT x, x FROM ({ids}) AS t(x)
+        UNION SELECT e.dst, min(k.low) FROM k JOIN {edges} e ON e.src = k.v JOIN recurring.k r ON r.v = e.dst WHERE r.low > k.low GROUP BY e.dst)"""
+
+
 _CHAINS = "SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id) AS component FROM events"
 
 
@@ -145,7 +151,13 @@ def cc_count(spark: SparkSession, d: str) -> DataFrame:
     return stats.component_count(components(event_chains(spark, d)))
 
 
-@query("SELECT p_partkey AS id, CAST(0 AS BIGINT) AS component FROM part")
+@query(f"WITH RECURSIVE {HUB}, h AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), {_labels_sql('h', 'SELECT id FROM v')} SELECT v AS id, low AS component FROM k")
+def cc_hub(spark: SparkSession, d: str) -> DataFrame:
+    """A third of all edges meet in one vertex, and hot keys are spread at any size."""
+    return components(hub(spark, d), task_rows=0)
+
+
+@query(f"WITH RECURSIVE {CO_BOTH}, {_labels_sql('h', 'SELECT p_partkey FROM part')} SELECT v AS id, low AS component FROM k")
 def cc_propagate(spark: SparkSession, d: str) -> DataFrame:
     return components(copurchase(spark, d), mode="propagate")
 

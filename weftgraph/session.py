@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -91,6 +92,11 @@ class Workspace:
         out._workspace_path = path  # noqa: SLF001
         return out
 
+    def counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+        """``keep``, and the number of rows, seen while writing."""
+        seen = Observation()
+        return self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             table_, path = getattr(df, "_workspace_table", None), getattr(df, "_workspace_path", None)
