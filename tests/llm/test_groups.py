@@ -37,13 +37,13 @@ def shapes():
     return out
 
 
-@pytest.mark.parametrize("core_edges", [0, 100_000])
-def test_groups(make, spark, core_edges):
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_groups(make, spark, task_rows):
     pairs = shapes()
     ids = list(range(0, 1000)) + [100, 100, None]
     v = make([(i, "x") for i in ids], "id long, label string")
     p = make([(i, a, b, 0.5) for i, (a, b) in enumerate(pairs)], "pair_id long, row long, col long, value double")
-    got = linked_groups(spark, v, p, core_edges=core_edges).collect()
+    got = linked_groups(spark, v, p, task_rows=task_rows).collect()
     assert len(got) == 1000 and {r.id: r.group_id for r in got} == brute(ids, pairs)
 
 

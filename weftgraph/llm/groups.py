@@ -8,9 +8,9 @@ Each round removes the easy part of the graph and keeps a parent for every verte
 * degree-one vertices are stripped onto their only neighbour.
 
 What is left, the core, is solved by hooking vertices to neighbours of smaller random
-priority and contracting, or in one task once it is small.  Parents are then resolved in
-reverse order of removal.  All state lives in tables in the shared folder; only counts come
-to the driver.
+priority and contracting, round by round.  Parents are then resolved in reverse order of
+removal.  All steps run the same way at every size.  All state lives in tables in the shared
+folder; only counts come to the driver.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.algorithms.contract import SMALL_EDGES, both_ends, hook_and_contract, resolve, simple_edges, smallest_of_group, solve_small
+from weftgraph.algorithms.contract import both_ends, contract, roots_of, simple_edges, smallest_of_group
+from weftgraph.operators.hot import SHARE, TASK_ROWS, spread_join
 from weftgraph.session import Workspace
 
 
-def _with_degrees(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(a, b, da, db, na, nb): degrees, and the smaller neighbour of each end."""
+def _with_degrees(ws: Workspace, edges: DataFrame, n: int, task_rows: int) -> DataFrame:
+    """(a, b, da, db, na, nb): degrees, and the smaller neighbour of each end.  A hub's edges are
+    spread; which vertices are hubs is known from the degrees."""
     info = ws.keep(both_ends(edges).groupBy("v").agg(F.count("*").alias("d"), F.min("u").alias("n")), "degrees")
-    one = edges.join(info.toDF("a", "da", "na"), "a")
-    out = ws.keep(one.join(info.toDF("b", "db", "nb"), "b"), "edges")
+    hot = info.filter(F.col("d") * SHARE > n).select("v", F.ceil(F.col("d") * SHARE / F.lit(max(1, n))).cast("int").alias("_parts"))
+    one = spread_join(edges, info.toDF("a", "da", "na"), "a", "b", n, task_rows=task_rows, hot=hot.withColumnRenamed("v", "a"))
+    both = spread_join(one, info.toDF("b", "db", "nb"), "b", "a", n, task_rows=task_rows, hot=hot.withColumnRenamed("v", "b"))
+    out = ws.keep(both.select("a", "b", "da", "db", "na", "nb"), "edges")
     ws.drop(info)
     return out
 
@@ -65,9 +69,10 @@ def _kept(ws: Workspace, pointers: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["low"])
 
 
-def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round of compressing and stripping: (removed: v, parent), (edges: a, b)."""
-    e = _with_degrees(ws, edges)
+def _round(ws: Workspace, edges: DataFrame, n: int, task_rows: int) -> tuple[tuple[DataFrame, int], DataFrame, int]:
+    """One round of compressing and stripping a graph of ``n`` edges: ((removed: v, parent; its
+    rows), edges: a, b; their number)."""
+    e = _with_degrees(ws, edges, n, task_rows)
     p = _chain_pointers(ws, e)
     side = lambda s: [F.max(F.when(F.col("s") == s, F.col(c))).alias(f"{c}{s}") for c in ("ev", "es", "ed", "rank")]
     chains = ws.keep(p.groupBy("v").agg(*side(0), *side(1), F.min("low").alias("low")), "chains")
@@ -87,43 +92,36 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaf = now.filter("da = 1 OR db = 1").select(
         F.when(F.col("db") == 1, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(F.col("db") == 1, F.col("a")).otherwise(F.col("b")).alias("parent")
     )
-    removed = ws.keep(inner.union(leaf), "removed")
-    left = ws.keep(now.filter("da <> 1 AND db <> 1").select("a", "b"), "left")
+    removed = ws.counted(inner.union(leaf), "removed")
+    left, m = ws.counted(now.filter("da <> 1 AND db <> 1").select("a", "b"), "left")
     ws.drop(e, chains, now)
-    return removed, left
+    return removed, left, m
 
 
 def linked_groups(
     spark: SparkSession, vertices: DataFrame, pairs: DataFrame, id_col: str = "id", a: str = "row", b: str = "col",
-    core_edges: int = SMALL_EDGES, least_share: float = 0.1,
+    least_share: float = 0.1, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """(id, group_id): one row for each distinct non-null id of ``vertices``; group_id is the
     smallest id linked with it over any number of pairs, itself included.
 
     Pairs with a null side and self-matches link nothing; repeated, reversed and parallel
     pairs link once; a pair may name ids that ``vertices`` lacks, which link but get no row.
-    An id in no pair is its own group.  Rounds go on while they remove at least
-    ``least_share`` of the edges; a core of at most ``core_edges`` edges is solved in one task.
+    An id in no pair is its own group.  Rounds of stripping go on while they remove at least
+    ``least_share`` of the edges; the core that is left is contracted.  Tables of more than
+    ``task_rows`` rows have the rows of hot vertices spread.
     """
     ws = Workspace(spark)
-    removed: list[DataFrame] = []
-    edges = ws.keep(simple_edges(pairs, a, b), "links")
-    n = edges.count()
-    while n > core_edges or (n and not removed):
-        out, left = _round(ws, edges)
+    removed: list[tuple[DataFrame, int]] = []
+    edges, n = ws.counted(simple_edges(pairs, a, b), "links")
+    before = 0
+    while n and (not removed or n <= (1 - least_share) * before):
+        out, left, m = _round(ws, edges, n, task_rows)
         ws.drop(edges)
         removed.append(out)
-        edges, before, n = left, n, left.count()
-        if n > (1 - least_share) * before:
-            break
-    seed = 0
-    while n > core_edges:
-        out, left = hook_and_contract(ws, edges, seed := seed + 1)
-        ws.drop(edges)
-        removed.append(out)
-        edges, n = left, left.count()
-    core = ws.keep(solve_small(edges).withColumnRenamed("parent", "root"), "roots") if n else None
-    roots = resolve(ws, removed, core)
+        edges, before, n = left, n, m
+    removed += contract(ws, edges, n, task_rows)
+    roots = roots_of(ws, removed, task_rows)
     ids = vertices.select(F.col(f"`{id_col}`").cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
     if roots is None:
         return ids.withColumn("group_id", F.col("id"))

@@ -29,6 +29,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(spark, table(spark, d, "vertices"), table(spark, d, "match_pair"))
 
 
+def p5_spread(spark: SparkSession, d: str) -> DataFrame:
+    """p5_found with the rows of hot vertices spread whatever the tables' size."""
+    return linked_groups(spark, table(spark, d, "vertices"), table(spark, d, "match_pair"), task_rows=0)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(spark, table(spark, d, "documents"))
 
@@ -52,7 +57,7 @@ def p8_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(first, ["s0", "s1"]).select(F.col("id").alias("doc_id"), "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_spread, p6_ids, p7_found, p7_spans, p8_found, p8_groups)}
 
 _FREQUENT = """
     FROM matrix_element WHERE col IS NOT NULL GROUP BY col
@@ -70,3 +75,4 @@ ORACLE_SQL = {
             UNION SELECT e.b, min(k.low) FROM k JOIN e ON e.a = k.v JOIN recurring.k r ON r.v = e.b WHERE r.low > k.low GROUP BY e.b)
         SELECT v AS id, low AS group_id FROM k WHERE v IN (SELECT id FROM vertices)""",
 }
+ORACLE_SQL["p5_spread"] = ORACLE_SQL["p5_found"]
