@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.operators.hot import TASK_ROWS, spread_join
 from weftgraph.session import Workspace
 
-#: Edges up to which a graph is solved in one task: about 100 MB of Python objects.
-SMALL_EDGES = 300_000
-
 
 def simple_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b), a < b: each undirected edge once, without loops and null ends."""
@@ -28,31 +21,6 @@ def both_ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ends).alias("x")).select("x.v", "x.u")
 
 
-def hook_and_contract(ws: Workspace, edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(removed: v, parent) and the smaller graph (a, b).
-
-    Each vertex hooks to its neighbour of smallest random priority, if that is smaller than
-    its own; pointers are doubled up to the roots; edges are drawn between roots.  Vertices
-    that stay are local minima, so each round leaves about a share 1/(degree + 1) of them,
-    whatever the ids.
-    """
-    of = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("id"))
-    hook = both_ends(edges).groupBy("v").agg(F.min(of("u")).alias("best"))
-    f = ws.keep(hook.select("v", F.when(F.col("best") < of("v"), F.col("best.id")).otherwise(F.col("v")).alias("parent")), "hooks")
-    moved = 1
-    while moved:
-        up = f.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-        seen = Observation()
-        jumped = f.join(up, "parent").observe(seen, F.count_if(F.col("above") != F.col("parent")).alias("moved"))
-        new = ws.keep(jumped.select("v", F.col("above").alias("parent")), "hooks")
-        ws.drop(f)
-        f, moved = new, seen.get["moved"]
-    roots = f
-    joined = edges.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
-    left = joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
-    return roots.filter("v <> parent"), ws.keep(left, "left")
-
-
 def contract_round(ws: Workspace, edges: DataFrame, n: int, seed: int, task_rows: int = TASK_ROWS) -> tuple[tuple[DataFrame, int], DataFrame, int]:
     """((removed: v, parent; at most so many rows), the smaller graph: a, b; its edges) of a graph of ``n`` edges.
 
@@ -104,50 +72,6 @@ def roots_of(ws: Workspace, removed: list[tuple[DataFrame, int]], task_rows: int
     return roots
 
 
-def solve_small(edges: DataFrame) -> DataFrame:
-    """(v, parent): the smallest vertex linked with each other vertex, in one task by
-    union-find; for graphs of a bounded number of edges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (p := parent.setdefault(root, root)) != root:
-                root = p
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        v = np.array([x for x in parent if find(x) != x], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.array([find(x) for x in v.tolist()], np.int64))], names=["v", "parent"])
-
-    return edges.coalesce(1).mapInArrow(run, "v bigint, parent bigint")
-
-
-def resolve(ws: Workspace, removed: list[DataFrame], core: DataFrame | None) -> DataFrame | None:
-    """(v, root) of all removed vertices, from the parents of each round, last round first.
-
-    AQE splits the join partitions of parents with very many children.
-    """
-    roots = core
-    for r in reversed(removed):
-        if roots is None:
-            roots = ws.keep(r.withColumnRenamed("parent", "root"), "roots")
-            continue
-        above = roots.select(F.col("v").alias("parent"), F.col("root").alias("above"))
-        up = r.join(above, "parent", "left").select("v", F.coalesce("above", "parent").alias("root"))
-        new = ws.keep(up.union(roots.select("v", "root")), "roots")
-        ws.drop(roots, r)
-        roots = new
-    return roots
-
-
 def smallest_of_group(ws: Workspace, roots: DataFrame, hot_rows: int = 1000) -> DataFrame:
     """(v, low): the smallest vertex of each vertex's group, roots included.
 
