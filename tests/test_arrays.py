@@ -25,18 +25,34 @@ def col(df, name, *by):
     return [r[name] for r in df.orderBy(*by).collect()]
 
 
-def test_examples_of_the_api(make, arr):
-    items = arr(range(10), "val")
-    assert col(order.bulk_remove(items, "pos", make([(x,) for x in (1, 3, 4, 5, 7, 8)], "pos long")), "val", "new_pos") == [0, 2, 6, 9]
-    a = make([(i, at, i) for i, at in enumerate([1, 1, 2, 3, 3])], "pos long, at long, val long")
-    b = arr(range(3), "val")
-    assert [(r.side, r.pos) for r in order.bulk_insert(a, b).orderBy("new_pos").collect()] == [("b", 0), ("a", 0), ("a", 1), ("b", 1), ("a", 2), ("b", 2), ("a", 3), ("a", 4)]
-    assert col(order.load_balance(arr([2, 5, 3, 0, 1], "n"), "pos", "n"), "owner", "item") == [0, 0, 1, 1, 1, 1, 1, 2, 2, 2, 4]
-    e = make(list(zip(range(9), range(9), [1, 2, 1, 0, 4, 2, 3, 0, 2])), "pos long, val long, n int")
-    assert col(order.interval_expand(e, "pos", "n", "val"), "value", "item") == [0, 1, 1, 2, 4, 4, 4, 4, 5, 5, 6, 6, 6, 8, 8]
-    x, y = arr([100, 101, 103, 103]), arr([100, 100, 102, 103])
-    got = {(r.a_pos, r.b_pos) for r in relational.relational_join(x, y, "full").collect()}
-    assert got == {(0, 0), (0, 1), (1, -1), (-1, 2), (2, 3), (3, 3)}
+def test_removal_and_insertion(make, arr):
+    r = random.Random(11)
+    values, gone = [r.randrange(50) for _ in range(40)], sorted(r.sample(range(40), 13))
+    kept = order.bulk_remove(arr(values, "val"), "pos", make([(x,) for x in gone], "pos long"))
+    assert col(kept, "val", "new_pos") == [v for i, v in enumerate(values) if i not in gone]
+    places = sorted(r.randrange(41) for _ in range(9))
+    got = order.bulk_insert(make([(i, at, -i) for i, at in enumerate(places)], "pos long, at long, val long"), arr(values, "val"))
+    want = list(values)
+    for i, at in reversed(list(enumerate(places))):
+        want.insert(at, -i)
+    assert col(got, "val", "new_pos") == want
+
+
+@pytest.mark.parametrize("block", [3, 65_536])
+def test_repetition_in_blocks(make, monkeypatch, block):
+    monkeypatch.setattr(order, "BLOCK", block)
+    counts = [4, 0, 11, 1, 0, 6]
+    d = make([(i, 10 * i, n) for i, n in enumerate(counts)], "pos long, val long, n int")
+    owners = [i for i, n in enumerate(counts) for _ in range(n)]
+    assert col(order.load_balance(d, "pos", "n"), "owner", "item") == owners
+    assert col(order.load_balance(d, "pos", "n"), "rank", "item") == [k for n in counts for k in range(n)]
+    assert col(order.interval_expand(d, "pos", "n", "val"), "value", "item") == [10 * i for i in owners]
+
+
+def test_join_by_position(arr):
+    a, b = [7, 9, 4, 4, 1], [4, 7, 7, 2]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y} | {(1, -1), (4, -1), (-1, 3)}
+    assert {(r.a_pos, r.b_pos) for r in relational.relational_join(arr(a), arr(b), "full").collect()} == want
 
 
 def test_multisets(arr):
@@ -47,6 +63,7 @@ def test_multisets(arr):
     assert get(relational.union(x, y)) == [1, 1, 1, 2, 2, 3, 4]
     assert get(relational.difference(x, y)) == [1, 1, 3]
     assert get(relational.symmetric_difference(x, y)) == [1, 1, 2, 3, 4]
+    assert get(relational.set_operation(x.distinct(), y.distinct(), "symmetric_difference")) == [3, 4]
     pairs = relational.paired_sets(arr(a), arr(b), "symmetric_difference").collect()
     assert sorted((r.key, r.side, r.pos) for r in pairs) == [(1, "a", 1), (1, "a", 2), (2, "b", 2), (3, "a", 4), (4, "b", 3)]
 
@@ -114,7 +131,7 @@ def test_sorts_are_stable(arr, keys):
 
 
 def test_segmented_sort_from_starts(make, arr, keys):
-    starts = [0, 9, 19, 25, 71, 87, 97]
+    starts = [0, 5, 6, 30, 64, 100, 118]
     seg = order.segments_from_starts(arr(keys), "pos", make([(s,) for s in starts], "start long"))
     got = [(r.seg, r.key) for r in order.segmented_sort(seg, "seg", "key", "pos").orderBy("seg", "rank").collect()]
     want = [(i, k) for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(keys)])) for k in sorted(keys[a:b])]
@@ -132,6 +149,38 @@ def test_merge_and_search(arr, keys):
     assert col(order.search_match(arr(a), arr(b)), "match", "pos") == [k in b for k in a]
 
 
+def test_other_orders(arr, keys):
+    down = lambda c: c.desc()
+    by_rest = lambda c: c % 3
+    assert col(order.sort_keys(arr(keys), "key", "pos", order=down), "pos", "rank") == sorted(range(len(keys)), key=lambda i: -keys[i])
+    assert col(order.sort_keys(arr(keys), "key", "pos", order=by_rest), "pos", "rank") == sorted(range(len(keys)), key=lambda i: keys[i] % 3)
+    a, b = sorted(keys[:50], reverse=True), sorted(keys[50:], reverse=True)
+    assert col(order.merge(arr(a), arr(b), order=down), "key", "new_pos") == sorted(a + b, reverse=True)
+    assert col(order.sorted_search(arr(a), arr(b), order=down), "index", "pos") == [sum(x > k for x in b) for k in a]
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_search_of_both_sides(arr, keys, upper):
+    a, b = sorted(k * 2 for k in keys[:30]), sorted(keys[30:90])
+    got = {(r.side, r.pos): (r["index"], r.match) for r in order.search_both(arr(a), arr(b), upper).collect()}
+    left, right = (bisect.bisect_right, bisect.bisect_left) if upper else (bisect.bisect_left, bisect.bisect_right)
+    want = {("a", i): (left(b, k), k in b) for i, k in enumerate(a)} | {("b", i): (right(a, k), k in a) for i, k in enumerate(b)}
+    assert got == want
+    assert order.match_counts(arr(a), arr(b)).first()[:] == (sum(k in b for k in a), sum(k in a for k in b))
+    # The indices describe one merged order.
+    assert {i + got["a", i][0] for i in range(30)} | {i + got["b", i][0] for i in range(60)} == set(range(90))
+
+
+def test_other_reductions_and_totals(arr, keys):
+    product = (F.product, lambda a, b: a * b)
+    d = arr([k % 3 + 1 for k in keys[:20]], "val")
+    want = list(accumulate([k % 3 + 1 for k in keys[:20]], lambda a, b: a * b))
+    rows, total = scan.scan_with_total(d, "pos", "val", product, identity=1.0)
+    assert col(rows, "scan", "pos") == want and total.first().total == want[-1]
+    assert scan.scan_with_total(d.limit(0), "pos", "val", product, identity=1.0)[1].first().total == 1.0
+    assert relational.reduce_with(d, "val", F.product, 1.0).first().value == want[-1] and relational.reduce_with(d.limit(0), "val", F.max, -7).first().value == -7
+
+
 def test_interval_moves(make, arr):
     src = arr(range(100, 120), "val")
     moves = make([(0, 5, 0, 2), (1, 10, 7, 0), (2, 0, 4, 3)], "pos long, gather long, scatter long, count long")

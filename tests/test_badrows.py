@@ -24,13 +24,15 @@ def lines(make):
     return make(rows + rows[::2], "line_id long, matrix_id long, fmt string, kind string, line string, _f0 string")
 
 
-def test_bad_lines(lines):
-    got = [(r.line_id, r.reason) for r in bad_lines(lines).collect()]
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_bad_lines(lines, task_rows):
+    got = [(r.line_id, r.reason) for r in bad_lines(lines, task_rows=task_rows).collect()]
     assert sorted(got) == [(len(GOOD) + i, x[3]) for i, x in enumerate(BAD)]
 
 
-def test_good_lines(lines):
-    got = {r.line_id: (r.row, r.col, r.value) for r in load_lines(lines).collect()}
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_good_lines(lines, task_rows):
+    got = {r.line_id: (r.row, r.col, r.value) for r in load_lines(lines, task_rows=task_rows).collect()}
     assert got == {i: x[3] for i, x in enumerate(GOOD)}
 
 

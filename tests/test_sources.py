@@ -36,6 +36,15 @@ def test_market_errors(spark, tmp_path, text, error):
         read.read_market(spark, put(tmp_path / "x.mtx", text))
 
 
+def test_parts_of_a_folder_are_one_text(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    lines = MTX.splitlines(keepends=True)
+    for k, at in enumerate(range(0, len(lines), 4)):
+        put(folder / f"part-{k:05d}", "".join(lines[at : at + 4]))
+    assert stored(read.read_market(spark, str(folder))) == sorted(edges(SMALL[1]))
+
+
 def test_dimacs(spark, tmp_path):
     put(tmp_path / "d.0", "c hi\np sp 4 2\na 1 2 7\na 2 3 8\n")
     put(tmp_path / "d.1", "p sp 4 1\na 4 1 9\n")
@@ -51,6 +60,8 @@ def test_metis_round_trip(spark, tmp_path):
     assert stored(g) == [(0, 1, 1), (0, 2, 1), (1, 0, 1), (2, 0, 1)] and g.vertices.count() == 4
     sinks.write_metis(g, str(tmp_path / "out"))
     assert stored(read.read_metis(spark, str(tmp_path / "out"))) == stored(g)
+    sinks.join_parts(spark, str(tmp_path / "out"), str(tmp_path / "one"))
+    assert (tmp_path / "one").read_text() == "4 2\n2 3\n1\n1\n\n"
     with pytest.raises(WrongCount):
         read.read_metis(spark, put(tmp_path / "n", "3 5\n2\n1\n\n"))
 
@@ -98,6 +109,8 @@ def test_generators(spark):
 
 def test_config():
     assert config.parse("bfs", "src=4, directed=0\niter_num=3") == config.Traversal(src=4, directed=False, iter_num=3)
+    assert config.parse("bfs", "directed=0 src=5", "directed=1 src=1") == config.Traversal()
+    assert config.parse("pagerank", "max_queue_sizing=3 device=1 threshold=5 with_value=1 run_CPU=1").run_CPU
     for bad in ("what=1", "src=x", "src"):
         with pytest.raises(ValueError):
             config.parse("bfs", bad)
@@ -107,5 +120,18 @@ def test_config():
 def test_command_line(spark, tmp_path, algorithm, want):
     out = tmp_path / "out"
     cli.main([algorithm, "-g", put(tmp_path / "g.mtx", MTX), "-o", str(out), "-p", "stats=1" if algorithm == "cc" else ""], spark)
-    lines = next(out.glob("part-*")).read_text().split()
+    lines = "".join(p.read_text() for p in sorted(out.glob("part-*"))).split()
     assert lines[: len(want.split())] == want.split()
+
+
+def test_given_parameters_stand_above_the_file(spark, tmp_path, capsys):
+    out = tmp_path / "out"
+    cli.main(["bfs", "-g", put(tmp_path / "g.mtx", MTX), "-o", str(out), "-c", put(tmp_path / "c", "directed=0 src=5"), "-p", "directed=1 src=1 device=1"], spark)
+    assert "".join(p.read_text() for p in sorted(out.glob("part-*"))).split() == "0 1 1 1 2 2 2".split()
+    assert "no effect here: device" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize(("algorithm", "want"), [("bfs", "CPU: 0 of 7 values differ"), ("sssp", "CPU: 0 of 7 values differ"), ("cc", "CPU: 0 of 7 values differ"), ("pagerank", "pass at 0.1")])
+def test_comparison_with_the_plain_version(spark, tmp_path, capsys, algorithm, want):
+    cli.main([algorithm, "-g", put(tmp_path / "g.mtx", MTX), "-p", "run_CPU=1"], spark)
+    assert want in capsys.readouterr().out

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import dataclasses
 import sys
 
 from pyspark.sql import SparkSession
 
-from weftgraph import config, stats
+from weftgraph import config, reference, stats
 from weftgraph.algorithms.components import components
 from weftgraph.algorithms.pagerank import pagerank
-from weftgraph.algorithms.traversal import bfs, sssp
+from weftgraph.algorithms.traversal import UNREACHED_DISTANCE, bfs, sssp
 from weftgraph.engine import Report
 from weftgraph.sources.graphs import random_sources, read_market, read_sources
 from weftgraph.sources.sinks import write_parquet, write_values
@@ -35,10 +34,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Several sources are separate runs, of which the last one's result is written."""
     a = parser().parse_args(argv)
-    par = config.parse_file(a.algorithm, a.config) if a.config else config.KINDS[a.algorithm]()
-    given = config.parse(a.algorithm, a.parameters)
-    plain = config.KINDS[a.algorithm]()
-    par = dataclasses.replace(par, **{f.name: getattr(given, f.name) for f in dataclasses.fields(given) if getattr(given, f.name) != getattr(plain, f.name)})
+    texts = [*([config.read_file(a.config)] if a.config else []), a.parameters]
+    par = config.parse(a.algorithm, *texts)
+    if idle := sorted({x for t in texts for x in config.given(a.algorithm, t) if x in config.IGNORED}):
+        print(f"no effect here: {', '.join(idle)}", file=sys.stderr)
     spark = spark or SparkSession.builder.appName("weftgraph").getOrCreate()
     graph, report = read_market(spark, a.graph), Report()
     cap = None if par.iter_num == UNLIMITED else par.iter_num
@@ -62,6 +61,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("components:", stats.component_count(out).first()[0])
     else:
         out, column = pagerank(graph, par.directed, par.damping, par.change_tol, cap, report), "rank"
+    if par.run_CPU and cap is None:
+        seen = graph.view(getattr(par, "directed", True))
+        plain = {
+            "bfs": lambda: reference.levels(seen, s), "sssp": lambda: reference.distances(seen, s, UNREACHED_DISTANCE),
+            "cc": lambda: reference.labels(graph), "pagerank": lambda: reference.ranks(seen, par.damping, par.change_tol),
+        }[a.algorithm]()
+        got = {r.id: r[column] for r in out.collect()}  # the graph is small, or the plain version would have refused it
+        print(reference.compared(got, plain, par.tol if a.algorithm == "pagerank" else None))
     if par.verbose:
         for s in report.supersteps:
             print(s)

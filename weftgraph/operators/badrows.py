@@ -1,19 +1,19 @@
 """Loading text lines while separating those that cannot be read (problem 4).
 
-Structure (quoting, number of fields) is checked in each line by built-in expressions.
-Values are checked once for each distinct spelling in a column: the distinct spellings are
-validated, those that fail become a dictionary with reasons, and the dictionary is joined
-back to the lines.  A spelling that stands in a third of all lines is validated once and,
-being valid, meets nothing in the join.
+Structure (quoting, number of fields) is checked in each line by built-in expressions; lines are
+parsed once and written with their fields.  Each distinct spelling of an index or a value is cast
+once: that gives a dictionary of spellings with the number they stand for, or the reason why they
+stand for none.  The invalid part of the dictionary is joined back to find bad lines, the valid
+part to load good ones.  The dictionary knows how often each spelling occurs, so one that stands
+in a third of all lines is spread over tasks in those joins.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.hot import SHARE, TASK_ROWS, spread_join
 from weftgraph.session import Workspace
 
 BLANK = " \t\r"
@@ -69,45 +69,48 @@ def value_fault(c: Column) -> Column:
     return F.when(~c.rlike(r"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?\z"), "not a decimal number").when(~finite, "not finite")
 
 
-FAULTS = (index_fault, index_fault, value_fault)
+INDEX, VALUE = 0, 1
 
 
-def fault_dictionary(parsed: DataFrame) -> DataFrame:
-    """(field, raw, fault): each distinct spelling of each field that cannot be cast, checked once."""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"_f{i}").alias("raw")) for i in range(3)))).alias("x")
-    distinct = parsed.filter("_structure IS NULL").select(each).select("x.field", "x.raw").filter("raw IS NOT NULL").distinct()
-    fault = reduce(lambda c, i: c.when(F.col("field") == i, FAULTS[i](F.col("raw"))), range(1, 3), F.when(F.col("field") == 0, FAULTS[0](F.col("raw"))))
-    return distinct.select("field", "raw", fault.alias("fault")).filter("fault IS NOT NULL")
+class _Lines:
+    """Parsed lines, written once, and the dictionary of their spellings."""
 
+    def __init__(self, lines: DataFrame, columns: dict[str, str], task_rows: int) -> None:
+        self.ws, self.task_rows = Workspace(lines.sparkSession), task_rows
+        own = lines.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
+        parsed, n = self.ws.counted(parse_lines(own).drop("line", "fmt", "kind").withColumn("_row", F.monotonically_increasing_id()), "lines")
+        self.parsed, self.size, self.keys = parsed, n * 3, ["_row", *(c for c in columns if c not in ("line", "fmt", "kind"))]
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.lit(VALUE if i == 2 else INDEX).alias("kind"), F.col(f"_f{i}").alias("raw")) for i in range(3)))).alias("x")
+        self.spelt = parsed.filter("_structure IS NULL").select(*self.keys, each).select(*self.keys, "x.*").filter("raw IS NOT NULL")
+        raw, index = F.col("raw"), F.col("kind") == INDEX
+        known = self.spelt.groupBy("kind", "raw").agg(F.count("*").alias("n"))
+        fault = F.when(index, index_fault(raw)).otherwise(value_fault(raw))
+        self.known = self.ws.keep(known.select("kind", "raw", "n", fault.alias("fault"), F.when(index, raw.try_cast("bigint")).alias("whole"), F.when(~index, raw.try_cast("double")).alias("real")), "spellings")
 
-def judge_lines(lines: DataFrame, line: str = "line", fmt: str = "fmt", kind: str = "kind") -> DataFrame:
-    """parse_lines with ``_reason`` (null for a good line, else the first that applies of
-    ``quoting``, ``columns``, ``value``) and ``_fault``, what is wrong with which field.
+    def joined(self, known: DataFrame) -> DataFrame:
+        """Each place of a spelling of ``known`` with what the dictionary says of it."""
+        hot = known.filter(F.col("n") * SHARE > self.size).select("kind", "raw", F.ceil(F.col("n") * SHARE / F.lit(max(1, self.size))).cast("int").alias("_parts"))
+        return spread_join(self.spelt, known.drop("n"), ["kind", "raw"], "_row", self.size, task_rows=self.task_rows, hot=hot)
 
-    The dictionary is written first, so that the planner joins it by its true size: broadcast
-    while it is small, else by a sort-merge join.
-    """
-    parsed = parse_lines(lines, line, fmt, kind)
-    known = Workspace(lines.sparkSession).keep(fault_dictionary(parsed), "faults")
-    out = parsed
-    for i in range(3):
-        out = out.join(known.filter(f"field = {i}").select(F.col("raw").alias(f"_f{i}"), F.col("fault").alias(f"_x{i}")), f"_f{i}", "left")
-    faults = F.concat_ws("; ", *(F.concat(F.lit(f"{FIELDS[i]}: "), F.col(f"_x{i}")) for i in range(3)))
-    reason = F.coalesce(F.col("_structure"), F.when(faults != "", "value"))
-    return out.select(*parsed.columns, reason.alias("_reason"), F.when(faults != "", faults).alias("_fault"))
 
+def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", fmt: str = "fmt", kind: str = "kind", task_rows: int = TASK_ROWS) -> DataFrame:
+    """(line_id, reason, fault): one row for each distinct line that cannot be read; reason is the
+    first that applies of ``quoting``, ``columns``, ``value``, fault says which fields are wrong.
 
-def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", fmt: str = "fmt", kind: str = "kind") -> DataFrame:
-    """(line_id, reason, fault): one row for each distinct line that cannot be read."""
-    own = lines.select(F.col(f"`{line_id}`").alias("line_id"), F.col(f"`{line}`").alias("line"), F.col(f"`{fmt}`").alias("fmt"), F.col(f"`{kind}`").alias("kind"))
-    return judge_lines(own).filter("_reason IS NOT NULL").select("line_id", F.col("_reason").alias("reason"), F.col("_fault").alias("fault")).distinct()
+    Null, blank and comment lines are no data; null fmt and kind count as fields between blanks,
+    three of them.  Lines delivered twice come once; an empty table gives no rows.
+    """
+    t = _Lines(lines, {"line_id": line_id, "line": line, "fmt": fmt, "kind": kind}, task_rows)
+    text = F.concat(F.element_at(F.array(*(F.lit(f"{x}: ") for x in FIELDS)), F.col("field") + 1), F.col("fault"))
+    wrong = t.joined(t.known.filter("fault IS NOT NULL")).groupBy("_row", "line_id").agg(F.array_sort(F.collect_list(F.struct("field", text.alias("text")))).alias("all"))
+    values = wrong.select("line_id", F.lit("value").alias("reason"), F.array_join(F.col("all.text"), "; ").alias("fault"))
+    return t.parsed.filter("_structure IS NOT NULL").select("line_id", F.col("_structure").alias("reason"), F.lit(None).cast("string").alias("fault")).union(values).distinct()
 
 
-def load_lines(lines: DataFrame, line_id: str = "line_id", owner: str = "matrix_id", line: str = "line", fmt: str = "fmt", kind: str = "kind") -> DataFrame:
+def load_lines(lines: DataFrame, line_id: str = "line_id", owner: str = "matrix_id", line: str = "line", fmt: str = "fmt", kind: str = "kind", task_rows: int = TASK_ROWS) -> DataFrame:
     """(line_id, owner, row, col, value): each distinct good line as an element with 0-based
-    row and col; value is 1 for kind ``pattern``."""
-    own = lines.select(F.col(f"`{line_id}`").alias("line_id"), F.col(f"`{owner}`").alias("owner"), F.col(f"`{line}`").alias("line"), F.col(f"`{fmt}`").alias("fmt"), F.col(f"`{kind}`").alias("kind"))
-    good = judge_lines(own).filter("_reason IS NULL")
-    index = lambda c: F.col(c).try_cast("bigint") - 1
-    value = F.when(F.col("_f2").isNull(), 1.0).otherwise(F.col("_f2").try_cast("double"))
-    return good.select("line_id", "owner", index("_f0").alias("row"), index("_f1").alias("col"), value.alias("value")).distinct()
+    row and col; value is 1 for kind ``pattern``.  Numbers come from the dictionary of spellings."""
+    t = _Lines(lines, {"line_id": line_id, "owner": owner, "line": line, "fmt": fmt, "kind": kind}, task_rows)
+    at = lambda i, c: F.max(F.when(F.col("field") == i, F.col(c)))
+    each = t.joined(t.known).groupBy(*t.keys).agg((at(0, "whole") - 1).alias("row"), (at(1, "whole") - 1).alias("col"), F.coalesce(at(2, "real"), F.lit(1.0)).alias("value"), F.count("fault").alias("faults"))
+    return each.filter("faults = 0").select("line_id", "owner", "row", "col", "value").distinct()

@@ -7,6 +7,8 @@ over everything in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,30 @@ from weftgraph.operators.scan import ranges, scan, segments_from_flags
 from weftgraph.session import Workspace
 
 
-def number_rows(df: DataFrame, by: list[str], to: str = "pos", seg: str | None = None, parts: int | None = None) -> DataFrame:
+#: A row that is repeated more often is cut into blocks of so many copies.
+BLOCK = 65_536
+Order = Callable[[Column], Column]
+
+
+def repeated(df: DataFrame, count: str, to: str, by: str | list[str]) -> DataFrame:
+    """Each row as often as ``count`` says, with ``to``: 0, 1, ... count - 1; no row for none.
+
+    Copies are made in blocks of bounded length, which are sent to tasks by the hash of ``by``
+    and the block's number, so one row of very many copies is neither one array nor one task's work.
+    """
+    n, block = F.col(count).cast("bigint"), F.lit(BLOCK).cast("bigint")
+    cut = df.filter(n > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))))
+    spread = cut.repartition(*([by] if isinstance(by, str) else by), "_block")
+    first = F.col("_block") * block
+    return spread.withColumn(to, F.explode(F.sequence(first, F.least(n, first + block) - 1))).drop("_block")
+
+
+def _ordered(key: str, order: Order | None) -> Column:
+    """The key as it is sorted: ascending, or as ``order`` makes of it, such as ``Column.desc`` or another expression of it."""
+    return order(F.col(key)) if order else F.col(key).asc()
+
+
+def number_rows(df: DataFrame, by: list[str | Column], to: str = "pos", seg: str | None = None, parts: int | None = None) -> DataFrame:
     """``df`` with ``to``: 0, 1, ... in the order of ``by``, from 0 again in each ``seg``.
 
     Equal rows get different numbers.  A segment may be of any size.
@@ -93,15 +118,16 @@ def bulk_insert(a: DataFrame, b: DataFrame) -> DataFrame:
     return n.select("new_pos", F.when(F.col("_side") == 0, "a").otherwise("b").alias("side"), "pos", "val")
 
 
-def sort_keys(df: DataFrame, key: str, pos: str, to: str = "rank") -> DataFrame:
+def sort_keys(df: DataFrame, key: str, pos: str, to: str = "rank", order: Order | None = None) -> DataFrame:
     """Stable sort: ``to`` is each row's place by (key, pos); with the row's payload and its
-    position it is the pair sort and the argsort too."""
-    return number_rows(df, [key, pos], to)
+    position it is the pair sort and the argsort too.  ``order`` compares keys otherwise.
+    Nearly sorted input needs no sort of its own: the sort inside tasks takes runs as they are."""
+    return number_rows(df, [_ordered(key, order), pos], to)
 
 
-def segmented_sort(df: DataFrame, seg: str, key: str, pos: str, to: str = "rank") -> DataFrame:
+def segmented_sort(df: DataFrame, seg: str, key: str, pos: str, to: str = "rank", order: Order | None = None) -> DataFrame:
     """Stable sort inside each segment; ``to`` counts from 0 in each."""
-    return number_rows(df, [key, pos], to, seg=seg)
+    return number_rows(df, [_ordered(key, order), pos], to, seg=seg)
 
 
 def segments_from_starts(df: DataFrame, pos: str, starts: DataFrame, start: str = "start", to: str = "seg") -> DataFrame:
@@ -123,21 +149,22 @@ def radix_sort(df: DataFrame, key: str, pos: str, begin_bit: int = 0, end_bit: i
     return number_rows(df.withColumn("_sign", by[0]).withColumn("_digit", by[1]), ["_sign", "_digit", pos], to).drop("_sign", "_digit")
 
 
-def merge(a: DataFrame, b: DataFrame, key: str = "key", pos: str = "pos") -> DataFrame:
+def merge(a: DataFrame, b: DataFrame, key: str = "key", pos: str = "pos", order: Order | None = None) -> DataFrame:
     """(new_pos, side, pos, key ...): stable merge; of equal keys those of ``a`` come first."""
     both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
-    n = number_rows(both, [key, "_side", pos], "new_pos")
+    n = number_rows(both, [_ordered(key, order), "_side", pos], "new_pos")
     return n.withColumn("side", F.when(F.col("_side") == 0, "a").otherwise("b")).drop("_side")
 
 
-def sorted_search(a: DataFrame, b: DataFrame, upper: bool = False, key: str = "key", pos: str = "pos") -> DataFrame:
+def sorted_search(a: DataFrame, b: DataFrame, upper: bool = False, key: str = "key", pos: str = "pos", order: Order | None = None) -> DataFrame:
     """(pos, key, index): for each row of ``a``, how many keys of ``b`` are smaller (lower
-    bound), or not larger (upper bound).  Null keys are left out on both sides."""
+    bound), or not larger (upper bound).  Null keys are left out on both sides.  ``order`` may
+    compare keys otherwise, but must keep different keys apart."""
     tag = 0 if upper else 1
     x = a.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(0).alias("is_b"), F.lit(1 - tag).alias("tag"), F.col(pos).alias("pos"))
     # Keys of b meet already counted, so a key that fills b is one row.
     y = b.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("is_b")).select("key", "is_b", F.lit(tag).alias("tag"), F.lit(-1).cast("bigint").alias("pos"))
-    s = scan(x.unionByName(y), ["key", "tag", "pos"], "is_b", to="index")
+    s = scan(x.unionByName(y), [_ordered("key", order), "tag", "pos"], "is_b", to="index")
     return s.filter(F.col("pos") >= 0).select("pos", "key", F.col("index").cast("bigint").alias("index"))
 
 
@@ -147,6 +174,25 @@ def search_match(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
     return a.join(keys, a[key] == F.col("_k"), "left").select(*a.columns, F.coalesce("_m", F.lit(False)).alias("match"))
 
 
+def search_both(a: DataFrame, b: DataFrame, upper: bool = False, key: str = "key", pos: str = "pos", order: Order | None = None) -> DataFrame:
+    """(side, pos, key, index, match): sorted_search of ``a`` in ``b``, and of ``b`` in ``a`` by
+    the other bound, so that both sides' indices describe one merged order; ``match``: whether
+    the key stands on the other side."""
+    out = []
+    for side, x, y, bound in (("a", a, b, upper), ("b", b, a, not upper)):
+        keys = y.select(F.col(key).alias("_k")).filter("_k IS NOT NULL").distinct().withColumn("_m", F.lit(True))
+        s = sorted_search(x, y, bound, key, pos, order).join(keys, F.col("key") == F.col("_k"), "left")
+        out.append(s.select(F.lit(side).alias("side"), "pos", "key", "index", F.coalesce("_m", F.lit(False)).alias("match")))
+    return out[0].union(out[1])
+
+
+def match_counts(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """(a_matches, b_matches): rows of each side whose key stands on the other."""
+    both = a.select(F.col(key).alias("k"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(key, F.lit(0), F.lit(1)))
+    each = both.filter("k IS NOT NULL").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).filter("x > 0 AND y > 0")
+    return each.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("a_matches"), F.coalesce(F.sum("y"), F.lit(0)).alias("b_matches"))
+
+
 def equality_count(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
     """``a`` with ``n``: how often its key stands in ``b``."""
     counts = b.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
@@ -157,15 +203,15 @@ def load_balance(df: DataFrame, pos: str, count: str) -> DataFrame:
     """(item, owner, rank): work items numbered in order of position, each with the position
     that made it and its rank there; rows of no count make none."""
     s = scan(df, pos, count, inclusive=False, to="_from")
-    some = s.filter(F.col(count) > 0)
-    return some.select(F.col(pos).alias("owner"), F.col("_from"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count).cast("bigint") - 1)).alias("rank")).select((F.col("_from") + F.col("rank")).cast("bigint").alias("item"), "owner", "rank")
+    each = repeated(s.select(F.col(pos).alias("owner"), "_from", F.col(count).alias("_n")), "_n", "rank", "owner")
+    return each.select((F.col("_from") + F.col("rank")).cast("bigint").alias("item"), "owner", "rank")
 
 
 def interval_expand(df: DataFrame, pos: str, count: str, value: str) -> DataFrame:
     """(item, value): each value repeated ``count`` times, in order of position."""
-    s = scan(df, pos, count, inclusive=False, to="_from").filter(F.col(count) > 0)
-    e = s.select(F.col(value).alias("value"), F.posexplode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("k", "_"), "_from")
-    return e.select((F.col("_from") + F.col("k")).cast("bigint").alias("item"), "value")
+    s = scan(df, pos, count, inclusive=False, to="_from")
+    each = repeated(s.select(F.col(pos).alias("_pos"), F.col(value).alias("value"), "_from", F.col(count).alias("_n")), "_n", "k", "_pos")
+    return each.select((F.col("_from") + F.col("k")).cast("bigint").alias("item"), "value")
 
 
 def interval_move(intervals: DataFrame, source: DataFrame, gather: bool = True, scatter: bool = True, pos: str = "pos", value: str = "val") -> DataFrame:
@@ -180,7 +226,7 @@ def interval_move(intervals: DataFrame, source: DataFrame, gather: bool = True,
         s = scan(s, pos, "count", inclusive=False, to="_run")
     read = F.col("gather") if gather else F.col("_run")
     write = F.col("scatter") if scatter else F.col("_run")
-    each = s.filter("count > 0").select(read.alias("_r"), write.alias("_w"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count").cast("bigint") - 1)).alias("_k"))
+    each = repeated(s.select(F.col(pos).alias("_pos"), read.alias("_r"), write.alias("_w"), "count"), "count", "_k", "_pos")
     moved = each.select((F.col("_r") + F.col("_k")).alias("_r"), (F.col("_w") + F.col("_k")).cast("bigint").alias("to"))
     return moved.join(source.select(F.col(pos).alias("_r"), F.col(value).alias("val")), "_r").select("to", "val")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.order import number_rows
+from weftgraph.operators.order import number_rows, repeated
 from weftgraph.session import Workspace, buckets_for
 
 NO_MATCH = -1
@@ -39,17 +41,30 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each row |m - n| times."""
-    return a.exceptAll(b).union(b.exceptAll(a))
+    """Each row |m - n| times; both sides are read and grouped once."""
+    return _times(a, b, F.abs(F.col("_a") - F.col("_b")))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Each row max(m, n) times: neither a plain nor a distinct union."""
-    return a.union(b.exceptAll(a))
+    return _times(a, b, F.greatest("_a", "_b"))
+
+
+def _times(a: DataFrame, b: DataFrame, n: Column) -> DataFrame:
+    """Each distinct row of both sides ``n`` times, where _a and _b say how often it stands on each."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = a.select("*", one.alias("_a"), none.alias("_b")).union(b.select("*", none, one))
+    each = both.groupBy(*a.columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).select(*a.columns, n.alias("_n"))
+    return repeated(each, "_n", "_k", a.columns).select(*a.columns)
+
+
+def _unshared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two sets that stand in one of them only."""
+    return a.union(b).groupBy(*a.columns).agg(F.count("*").alias("_n")).filter("_n = 1").select(*a.columns)
 
 
 SET_OPS = {"intersection": (DataFrame.intersect,), "union": (lambda a, b: a.union(b).distinct(),), "difference": (DataFrame.subtract,),
-           "symmetric_difference": (lambda a, b: a.subtract(b).union(b.subtract(a)),)}
+           "symmetric_difference": (_unshared,)}
 
 
 def set_operation(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
@@ -82,6 +97,11 @@ def reduce_all(df: DataFrame, value: str, ops: list[str]) -> DataFrame:
     return df.agg(*(REDUCTIONS[o](value).alias(o) for o in ops))
 
 
+def reduce_with(df: DataFrame, value: str, reduce_: Callable[[str], Column], identity: object) -> DataFrame:
+    """One row with ``value``: any aggregate over the column, ``identity`` where there is nothing to reduce."""
+    return df.agg(F.coalesce(reduce_(value), F.lit(identity)).alias("value"))
+
+
 def segmented_reduce(data: DataFrame, segments: DataFrame, seg: str, aggregate: Column, identity: object, to: str = "value") -> DataFrame:
     """(seg, to): each segment reduced; empty segments give ``identity``."""
     got = data.groupBy(seg).agg(aggregate.alias(to))

@@ -64,15 +64,13 @@ def keyed_percentiles(df: DataFrame, key: str, value: str, shares: list[Fraction
     """
     ws = Workspace(df.sparkSession)
     f = ws.keep(value_frequencies(df, key, value).filter("value IS NOT NULL"), "frequencies")
-    run = running_total(ws, f, "key", "value", "w", parts)
-    total = f.groupBy("key").agg(F.sum("w").alias("total"))
-    both = run.join(total, "key")
+    run = running_total(ws, f, "key", "value", "w", parts)  # with the total of the key, which came from one row for each range
     out = []
     for k, share in enumerate(shares):
         s = Fraction(share)
         reached = F.col("running") * s.denominator >= F.col("total") * s.numerator
         out.append(F.min(F.when(reached, F.col("value"))).alias(f"p{k}"))
-    return both.groupBy("key").agg(*out)
+    return run.groupBy("key").agg(*out)
 
 
 def segment_counts(offsets: DataFrame, owner: str, seg: str, offset: str) -> DataFrame:

@@ -52,6 +52,9 @@ _add("scatter_if", f"WITH {O} SELECT pos * 7 % 4099 AS pos, arg_max(val, pos) AS
 _add("counting_step", "SELECT p_partkey AS pos, p_partkey * 3 + 5 AS val FROM part",
      _counted)
 
+_add("memset", "SELECT range AS pos, 7 AS val FROM range((SELECT count(*) FROM part))", lambda s, d: elementwise.constant(s, table(s, d, "part").count(), 7))
+_add("copy_array", f"WITH {A} FROM a", lambda s, d: elementwise.copy(array_a(s, d)))
+
 _BINARY = {"plus": "val + key", "minus": "val - key", "multiplies": "val * key", "modulus": "val % (key + 1)", "bit_or": "val | key", "bit_and": "val & key", "bit_xor": "xor(val, key)", "maximum": "greatest(val, key)", "minimum": "least(val, key)"}
 _COMPARED = {"less": "<", "less_equal": "<=", "greater": ">", "greater_equal": ">=", "equal_to": "=", "not_equal_to": "<>"}
 
@@ -66,6 +69,8 @@ _add("elementwise_ops", f"WITH {A} SELECT pos, " + ", ".join([f"{v} AS {k}" for
 # Reductions.
 _add("reduce_ops", f'WITH {O} SELECT CAST(sum(val) AS BIGINT) AS sum, min(val) AS min, max(val) AS max, bit_and(val) AS bit_and, bit_or(val) AS bit_or, bit_xor(val) AS bit_xor FROM o',
      lambda s, d: relational.reduce_all(array_o(s, d), "val", ["sum", "min", "max", "bit_and", "bit_or", "bit_xor"]))
+_add("reduce_product", "SELECT product(n_nationkey % 3 + 1) AS value FROM nation",
+     lambda s, d: relational.reduce_with(table(s, d, "nation").select((F.col("n_nationkey") % 3 + 1).alias("val")), "val", F.product, 1.0))
 _add("reduce_by_key_runs", f"""WITH {B}, f AS (SELECT *, CASE WHEN lag(key) OVER (ORDER BY pos) IS DISTINCT FROM key THEN 1 ELSE 0 END AS n FROM b),
     r AS (SELECT *, sum(n) OVER (ORDER BY pos) - 1 AS run FROM f) SELECT CAST(run AS BIGINT) AS run, key, CAST(sum(val) AS BIGINT) AS value FROM r GROUP BY run, key""",
      lambda s, d: order.reduce_by_run(array_b(s, d), "pos", "key", F.sum("val")))
@@ -166,7 +171,20 @@ _add("seg_scan_flags", f"""WITH {O}, f AS (SELECT *, CAST(sum(CASE WHEN val < 9
      lambda s, d: scan.scan(scan.segments_from_flags(array_o(s, d).withColumn("f", F.col("val") < 9), "pos", "f").select("pos", "key", "val", "seg"), "pos", "val", seg="seg"))
 _add("max_scan", f"WITH {O} SELECT pos, key, val, max(key) OVER (ORDER BY pos) AS scan FROM o", lambda s, d: scan.max_scan(array_o(s, d), "pos", "key"))
 
+_add("scan_total", f"WITH {O} SELECT CAST(sum(val) AS BIGINT) AS total FROM o", lambda s, d: scan.scan_with_total(array_o(s, d), "pos", "val")[1])
+# A reduction of one's own: the largest of absolute values.
+_LARGEST = (lambda c: F.max(F.abs(F.col(c) if isinstance(c, str) else c)), F.greatest)
+_add("scan_own_operator", f"WITH {O} SELECT pos, key, val - 50 AS val, CAST(max(abs(val - 50)) OVER (ORDER BY pos) AS BIGINT) AS scan FROM o",
+     lambda s, d: scan.scan(array_o(s, d).select("pos", "key", (F.col("val") - 50).alias("val")), "pos", "val", _LARGEST))
+
 # Sorting, merging, searching.
+_add("sort_descending", f"WITH {O} SELECT row_number() OVER (ORDER BY key DESC, pos) - 1 AS rank, key, pos FROM o", lambda s, d: order.sort_keys(array_o(s, d), "key", "pos", order=lambda c: c.desc()).select("rank", "key", "pos"))
+# Nearly sorted: each order's number, with neighbours swapped.
+_add("locality_sort", f"WITH {O} SELECT row_number() OVER (ORDER BY xor(pos, 1), pos) - 1 AS rank, xor(pos, 1) AS key, pos FROM o",
+     lambda s, d: order.sort_keys(array_o(s, d).select("pos", F.col("pos").bitwiseXOR(F.lit(1)).alias("key")), "key", "pos"))
+_add("seg_sort_flags", f"""WITH {O}, f AS (SELECT *, CAST(sum(CASE WHEN val < 9 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS BIGINT) AS seg FROM o)
+    SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY key, pos) - 1 AS rank, key, pos FROM f""",
+     lambda s, d: order.segmented_sort(scan.segments_from_flags(array_o(s, d).withColumn("f", F.col("val") < 9), "pos", "f"), "seg", "key", "pos").select("seg", "rank", "key", "pos"))
 _add("sort_keys", f"WITH {O} SELECT row_number() OVER (ORDER BY key, pos) - 1 AS rank, key FROM o", lambda s, d: order.sort_keys(array_o(s, d), "key", "pos").select("rank", "key"))
 _add("sort_pairs", f"WITH {O} SELECT row_number() OVER (ORDER BY key, pos) - 1 AS rank, key, val FROM o", lambda s, d: order.sort_keys(array_o(s, d), "key", "pos").select("rank", "key", "val"))
 _add("sort_indices", f"WITH {O} SELECT row_number() OVER (ORDER BY key, pos) - 1 AS rank, pos FROM o", lambda s, d: order.sort_keys(array_o(s, d), "key", "pos").select("rank", "pos"))
@@ -182,6 +200,12 @@ _add("merge_pairs", f"{_MERGED} SELECT row_number() OVER (ORDER BY key, t, pos)
 _SEARCH = "WITH {a}, {b}, k AS (SELECT key, count(*) AS n FROM b GROUP BY key) SELECT a.pos, a.key, CAST(coalesce((SELECT sum(n) FROM k WHERE k.key {op} a.key), 0) AS BIGINT) AS index FROM a"
 _add("sorted_search_lower", _SEARCH.format(a=A, b=B, op="<"), lambda s, d: order.sorted_search(array_a(s, d), array_b(s, d)))
 _add("sorted_search_upper", _SEARCH.format(a=A, b=B, op="<="), lambda s, d: order.sorted_search(array_a(s, d), array_b(s, d), upper=True))
+_BOTH = """WITH {a}, {b}, k AS (SELECT key, count(*) AS n FROM b GROUP BY key), l AS (SELECT key, count(*) AS n FROM a GROUP BY key)
+    SELECT 'a' AS side, a.pos, a.key, CAST(coalesce((SELECT sum(n) FROM k WHERE k.key < a.key), 0) AS BIGINT) AS index, a.key IN (SELECT key FROM k) AS match FROM a
+    UNION ALL SELECT 'b', b.pos, b.key, CAST(coalesce((SELECT sum(n) FROM l WHERE l.key <= b.key), 0) AS BIGINT), b.key IN (SELECT key FROM l) FROM b"""
+_add("sorted_search_both", _BOTH.format(a=A, b=B), lambda s, d: order.search_both(array_a(s, d), array_b(s, d)))
+_add("sorted_search_counts", f"WITH {A}, {B} SELECT (SELECT count(*) FROM a WHERE key IN (SELECT key FROM b)) AS a_matches, (SELECT count(*) FROM b WHERE key IN (SELECT key FROM a)) AS b_matches",
+     lambda s, d: order.match_counts(array_a(s, d), array_b(s, d)))
 _add("search_match", f"WITH {A}, {B} SELECT pos, key, val, key IN (SELECT key FROM b) AS match FROM a", lambda s, d: order.search_match(array_a(s, d), array_b(s, d)))
 _add("load_balance_search", f"""WITH {A}, x AS (SELECT pos AS owner, val % 4 AS n, sum(val % 4) OVER (ORDER BY pos) - val % 4 AS place FROM a)
     SELECT CAST(place + k AS BIGINT) AS item, owner, k AS rank FROM (SELECT owner, place, unnest(range(n)) AS k FROM x)""",
@@ -233,6 +257,8 @@ _DISTINCT = {"intersection": "INTERSECT", "union": "UNION", "difference": "EXCEP
 for _k, _op in _DISTINCT.items():
     _add(f"set_distinct_{_k}", f"WITH {A}, {B}, x AS (SELECT DISTINCT val FROM a), y AS (SELECT DISTINCT val FROM b) FROM x {_op} FROM y",
          lambda s, d, k=_k: relational.set_operation(array_a(s, d).select("val").distinct(), array_b(s, d).select("val").distinct(), k))
+_add("set_distinct_symmetric_difference", f"WITH {A}, {B}, x AS (SELECT DISTINCT val FROM a), y AS (SELECT DISTINCT val FROM b) (FROM x EXCEPT FROM y) UNION ALL (FROM y EXCEPT FROM x)",
+     lambda s, d: relational.set_operation(array_a(s, d).select("val").distinct(), array_b(s, d).select("val").distinct(), "symmetric_difference"))
 _PAIRED = f"""WITH {A}, {B}, x AS (SELECT key, pos AS pa, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS occ FROM a),
     y AS (SELECT key, pos AS pb, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS occ FROM b)
     SELECT key, occ, CASE WHEN pa IS NULL THEN 'b' ELSE 'a' END AS side, coalesce(pa, pb) AS pos FROM x FULL JOIN y USING (key, occ) WHERE """

@@ -208,9 +208,9 @@ def pagerank_capped(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank(copurchase(spark, d), iter_num=3))
 
 
-@query(f"WITH RECURSIVE {CO_BOTH}, {_pagerank_sql('h', 5)}")
+@query(f"WITH RECURSIVE {CO_BOTH}, {_pagerank_sql('h')}")
 def pagerank_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(pagerank(copurchase(spark, d), directed=False, iter_num=5))
+    return _rounded(pagerank(copurchase(spark, d), directed=False))
 
 
 @query(f"WITH RECURSIVE {CO}, {_fixed_sql(10)}")
@@ -218,7 +218,14 @@ def pagerank_rounds(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank_fixed(copurchase(spark, d), 10))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CO}, deg AS (SELECT src, count(*) AS d FROM g GROUP BY src),
+    pr(it, v, rank, due) AS (
+        SELECT 0, p_partkey, 0.15::DOUBLE, 0.15::DOUBLE FROM part
+        UNION ALL (
+        WITH got AS (SELECT g.dst AS v, 0.85 * sum(p.due / deg.d) AS x FROM pr p JOIN g ON g.src = p.v JOIN deg ON deg.src = g.src WHERE abs(p.due) >= 0.01 GROUP BY g.dst)
+        SELECT p.it + 1, p.v, p.rank + coalesce(got.x, 0), CASE WHEN abs(p.due) >= 0.01 THEN 0 ELSE p.due END + coalesce(got.x, 0)
+        FROM pr p LEFT JOIN got ON got.v = p.v WHERE EXISTS (SELECT 1 FROM pr WHERE abs(due) >= 0.01)))
+    SELECT v AS id, round(rank, 6) AS rank FROM pr WHERE it = (SELECT max(it) FROM pr)""")
 def pagerank_deltas(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank_delta(copurchase(spark, d)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.model import Graph
 from weftgraph.operators.order import number_rows
 from weftgraph.sources.errors import BadEdge, BadHeader, BadVertex, NoGraph, NotSquare, SpliceMismatch, WrongCount
-from weftgraph.sources.text import first_lines, numbered_lines
+from weftgraph.sources.text import first_line, numbered_lines
 
 BLANKS = r"[ \t\r]+"
 
@@ -36,7 +36,9 @@ def _sizes(line: str | None, n: int, what: str) -> list[int]:
 def _after_first(lines: DataFrame) -> DataFrame:
     """All lines but the first."""
     head = lines.agg(F.min("no")).first()[0]
-    return lines.filter((F.col("no.block") != head["block"]) | (F.col("no.id") != head["id"]))
+    if head is None:
+        return lines
+    return lines.filter((F.col("no.file") != head["file"]) | (F.col("no.block") != head["block"]) | (F.col("no.id") != head["id"]))
 
 
 def _checked(edges: DataFrame, n: int, declared: int | None, bad: Column, what: str = "edges") -> None:
@@ -60,7 +62,7 @@ def read_market(spark: SparkSession, path: str, undirected: bool = False, intege
     NotSquare, BadEdge, BadVertex or WrongCount; ``check=False`` skips the pass over all lines.
     """
     data = numbered_lines(spark, path).filter(F.btrim("line", F.lit(" \t\r")) != "").filter(~F.ltrim("line").startswith("%"))
-    rows, cols, m = _sizes(next(iter(first_lines(data).values()), None), 3, "size line")[:3]
+    rows, cols, m = _sizes(first_line(data), 3, "size line")[:3]
     if rows != cols:
         raise NotSquare(f"{rows} rows and {cols} columns")
     f = _fields(F.col("line"))
@@ -104,8 +106,8 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
     neighbour is accepted too.  Weights are not read.
     """
     lines = numbered_lines(spark, path).filter(~F.startswith(F.ltrim("line"), F.lit("%")))
-    n, m = _sizes(next(iter(first_lines(lines).values()), None), 2, "header")[:2]
-    placed = number_rows(lines.select(F.col("no.block").alias("block"), F.col("no.id").alias("id"), "line"), ["block", "id"], "k").filter("k > 0")
+    n, m = _sizes(first_line(lines), 2, "header")[:2]
+    placed = number_rows(lines.select("file", F.col("no.block").alias("block"), F.col("no.id").alias("id"), "line"), ["file", "block", "id"], "k").filter("k > 0")
     near = placed.select("line", (F.col("k") - 1).alias("src"), F.explode(F.filter(_fields(F.col("line")), lambda x: x != "")).alias("u"))
     e = near.select("line", "src", (F.col("u").try_cast("bigint") - 1).alias("dst"), F.lit(1).cast("bigint").alias("w"))
     if check:
@@ -121,7 +123,7 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
 def read_coordinates(spark: SparkSession, path: str, check: bool = True) -> Graph:
     """A graph from a plain file: ``n m``, then ``from to value`` lines, 0-based."""
     lines = numbered_lines(spark, path).filter(F.btrim("line", F.lit(" \t\r")) != "")
-    n, m = _sizes(next(iter(first_lines(lines).values()), None), 2, "header")[:2]
+    n, m = _sizes(first_line(lines), 2, "header")[:2]
     f = _fields(F.col("line"))
     body = _after_first(lines).select(
         "line", F.get(f, F.lit(0)).try_cast("bigint").alias("src"), F.get(f, F.lit(1)).try_cast("bigint").alias("dst"), F.coalesce(F.get(f, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("w")
@@ -138,13 +140,13 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     negated; ``pattern`` values are 1.
     """
     lines = numbered_lines(spark, path)
-    banner = (next(iter(first_lines(lines).values()), "") or "").lower().split()
+    banner = (first_line(lines) or "").lower().split()
     if len(banner) < 5 or banner[0] != "%%matrixmarket" or banner[1] != "matrix" or banner[2] != "coordinate":
         raise BadHeader("no banner of a coordinate matrix")
     if banner[3] not in ("real", "pattern", "integer"):
         raise BadHeader(f"field {banner[3]} is not supported")
     data = lines.filter(F.btrim("line", F.lit(" \t\r")) != "").filter(~F.startswith(F.col("line"), F.lit("%")))
-    height, width, _ = _sizes(next(iter(first_lines(data).values()), None), 3, "size line")[:3]
+    height, width, _ = _sizes(first_line(data), 3, "size line")[:3]
     f = _fields(F.col("line"))
     value = F.lit(1.0) if banner[3] == "pattern" else F.get(f, F.lit(2)).cast("double")
     m = _after_first(data).select((F.get(f, F.lit(0)).cast("bigint") - 1).alias("row"), (F.get(f, F.lit(1)).cast("bigint") - 1).alias("col"), value.alias("value"))

@@ -62,8 +62,9 @@ def offsets(graph: Graph) -> DataFrame:
 
 def indices(offset_rows: DataFrame, total: int | None = None) -> DataFrame:
     """(pos, id): the owner of each edge position, from rows of (id, offset, degree)."""
-    spread = F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("degree") - 1)).alias("pos")
-    return offset_rows.filter("degree > 0").select(spread, "id")
+    from weftgraph.operators.order import repeated
+
+    return repeated(offset_rows, "degree", "_k", "id").select((F.col("offset") + F.col("_k")).alias("pos"), "id")
 
 
 def edge_ids(graph: Graph) -> DataFrame:
