@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from weftgraph.llm.skeleton import LOOK_ALIKES, prototypes, skeleton, visually_equal_pairs, with_skeleton
+from weftgraph.llm.skeleton import LOOK_ALIKES, folding, listed, skeleton, visually_equal_pairs, with_skeleton
 
 SAME = [
     ("Ｏｆｆｅｒ　１２！", "Offer 12!"), ("café", "café"), ("o­ff​⁠er﻿", "offer"),
@@ -15,13 +15,13 @@ DIFFERENT = [("a", "A"), ("e", "\u00e9"), ("O", "0"), ("l", "1"), ("I", "l"), ("
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
-def test_same(a, b):
-    assert a != b and skeleton(a) == skeleton(b)
+def test_same(spark, a, b):
+    assert a != b and skeleton(a) == skeleton(b) and folding(spark).skeleton(a) == folding(spark).skeleton(b)
 
 
 @pytest.mark.parametrize(("a", "b"), DIFFERENT)
-def test_different(a, b):
-    assert skeleton(a) != skeleton(b)
+def test_different(spark, a, b):
+    assert skeleton(a) != skeleton(b) and folding(spark).skeleton(a) != folding(spark).skeleton(b)
 
 
 def test_each_look_alike_has_one_prototype():
@@ -30,10 +30,11 @@ def test_each_look_alike_has_one_prototype():
     assert not set(alike) & {line[0] for line in LOOK_ALIKES.splitlines()}
 
 
-def test_skeleton_is_a_fixed_point():
-    for code, to in prototypes().items():
-        s = skeleton(chr(code))
-        assert skeleton(s) == s and unicodedata.normalize("NFD", s) == s, hex(code)
+def test_skeleton_is_a_fixed_point(spark):
+    for f in (listed(), folding(spark)):
+        for code in list(f.table):
+            s = f.skeleton(chr(code))
+            assert f.skeleton(s) == s and unicodedata.normalize("NFD", s) == s, hex(code)
     assert skeleton(None) is None and skeleton("") == "" and skeleton("plain text\r\n\t") == "plain text\r\n\t"
 
 
@@ -65,3 +66,33 @@ def test_many_copies_and_one_variant(make):
 
 def test_more_alphabets_drawn_like_latin():
     assert skeleton("ꓐꓰꓢꓔ ⲤⲞⲢⲨ 𐐄𐐠 ᴄᴏᴢʏ ιγ") == "BEST COPY OS cozy iy"
+
+
+def test_derived_letters(spark):
+    f = folding(spark)
+    alike = [("\u0585", "o"), ("\u03b9", "i"), ("\ua4ee", "A"), ("\u2c9f", "o"), ("\U0001042c", "o"), ("\uabaf", "c"), ("\u1d04", "c"), ("\u1d0f", "o"), ("\ua731", "s"), ("\u044c", "b")]
+    assert all(f.skeleton(a) == f.skeleton(b) for a, b in alike)
+    assert len(f.letters) > 2 * len(listed().letters)
+
+
+def test_no_two_letters_of_one_alphabet_and_case_are_folded_by_rule(spark):
+    """ASCII letters, and the two cases of a letter, stay apart; a derived letter never joins another of its alphabet."""
+    f, by_hand, seen = folding(spark), listed().letters, {}
+    assert [f.skeleton(c) for c in map(chr, range(33, 127))] == list(map(chr, range(33, 127)))
+    for c, to in f.letters.items():
+        if c not in by_hand:
+            key = to, unicodedata.name(c).split()[0], c.isupper()
+            assert key not in seen or key[1] == "LATIN", (c, seen[key])
+            seen[key] = c
+    for i in range(0x250):
+        c = chr(i)
+        if c.isupper() and len(c.lower()) == 1:
+            assert f.skeleton(c) != f.skeleton(c.lower())
+
+
+def test_case_is_folded_over_look_alikes(spark):
+    f = folding(spark)
+    low = lambda t: f.uncased(f.skeleton(t))
+    for t in ("город вода мягкий ключь знать", "γάμμα λόγος ήτα θήτα", "բարև օր", "ꭰꮃꮅ"):
+        assert low(t) == low(t.upper()), t
+    assert low("Веst") == "best"

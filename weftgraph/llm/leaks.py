@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm.skeleton import LOOK_ALIKES, skeleton
+from weftgraph.llm.skeleton import Folding, folding, listed
 
 # Names of bracket tags of forum markup.
 BRACKET_TAGS = "b i u s quote code url img size color colour list li spoiler center left right font email sub sup pre table tr td th youtube video"
@@ -51,27 +51,9 @@ _BRACKET = re.compile(
 _WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=1)
-def _case_alike() -> dict[int, str]:
-    """Small letters -> the one form they are compared in.
-
-    Case is folded after the skeleton was taken, so a small letter may come from a capital
-    that was no look-alike itself, and a capital's prototype has another small letter than
-    the capital had (Cyrillic Ve: drawn like B, but its small form is not like b).
-    """
-    pairs = [line.split(" ") for line in LOOK_ALIKES.splitlines()]
-    small = {c: to for to, alike in pairs for c in alike if c.islower()}
-    other = {}
-    for to, alike in pairs:
-        for c in alike:
-            low = small.get(c.lower(), c.lower())
-            if to.isupper() and len(low) == 1 and not low.isascii():
-                other[low] = small.get(to.lower(), to.lower())
-    return {ord(c): other.get(to, to) for c, to in small.items()} | {ord(c): to for c, to in other.items()}
-
-
-def words(text: str | None) -> list[str]:
+def words(text: str | None, fold: Folding | None = None) -> list[str]:
     """The words of a text in the form in which they are compared; null and empty give none.
+    ``fold`` holds the look-alike letters, without it those that are listed.
 
     Entities are resolved, tags with their attributes removed, characters brought to their
     skeleton and to lower case; words are runs of letters and digits.
@@ -86,10 +68,9 @@ def words(text: str | None) -> list[str]:
         text = html.unescape(text)
         if "&" in text:
             text = html.unescape(text)
-    seen = skeleton(text)
-    if seen.isascii():
-        return _WORD.findall(seen.lower())
-    return _WORD.findall(unicodedata.normalize("NFC", seen).casefold().translate(_case_alike()))
+    fold = fold or listed()
+    seen = fold.skeleton(text)
+    return _WORD.findall(seen.lower() if seen.isascii() else fold.uncased(seen))
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,12 @@ way accents and ligatures are encoded, invisible characters, and letters of othe
 that are drawn like another letter.  Letter case, accents, digits, punctuation, line breaks
 and the number of spaces stay different.
 
+Look-alike letters come from two sources.  A short list in this module holds the pairs that
+matter most and those that need a decision.  The rest is derived from the public confusables
+data of Unicode, which Spark's ICU library carries: letters of one class are folded where they
+belong to different alphabets, have the same case, and are the only letter of their alphabet
+in the class, so no two letters of one alphabet become equal (``derived_letters``).
+
 ``visually_equal_pairs`` never moves texts: each text becomes two 128-bit digests in one
 Arrow pass, and only digests are shuffled.
 """
@@ -16,13 +22,14 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +64,7 @@ X ΧХꓫⲬ
 Y ΥҮꓬⲨ
 Z ΖᏃꓜ
 a аɑα
+b ь
 c сϲᴄⲥ𐐽
 d ԁ
 e е
@@ -115,17 +123,18 @@ def _compatible(ch: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1)
-def prototypes() -> dict[int, str]:
-    """Code point -> prototype, for every character that has another one; built once per process.
+def listed_letters() -> dict[str, str]:
+    """Letter -> prototype, as listed above."""
+    lines = [line.split(" ") for line in LOOK_ALIKES.splitlines()]
+    return {c: to for to, alike in lines for c in alike if unicodedata.category(c)[0] == "L"}
+
+
+def prototypes(letters: dict[str, str]) -> dict[int, str]:
+    """Code point -> prototype, for every character that has another one.
 
     The compatibility part comes from the rules above over the whole code space, the rest
-    from LOOK_ALIKES.  Every prototype is fully decomposed and maps to itself.
+    from ``letters``.  Every prototype is fully decomposed and maps to itself.
     """
-    letters = {}
-    for line in LOOK_ALIKES.splitlines():
-        to, alike = line.split(" ")
-        letters |= {c: to for c in alike if unicodedata.category(c)[0] == "L"}
     table = {}
     for i in range(sys.maxunicode + 1):
         ch = chr(i)
@@ -148,6 +157,87 @@ def prototypes() -> dict[int, str]:
     return table
 
 
+class _Classes:
+    """Letters that are equal where case doesn't count.  Two ASCII letters never become equal."""
+
+    def __init__(self) -> None:
+        self.up: dict[str, str] = {}
+
+    def find(self, c: str) -> str:
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+    def join(self, a: str, b: str) -> bool:
+        a, b = sorted((self.find(a), self.find(b)))  # ASCII comes first, so it stays the root
+        if a != b and b.isascii():
+            return False
+        if a != b:
+            self.up[b] = a
+        return True
+
+    def of(self, letters: dict[str, str]) -> _Classes:
+        """With each letter's two cases joined as they look after folding."""
+        for c in sorted({x for c in letters for x in (c, c.swapcase()) if len(x) == 1}):
+            low = c.lower()
+            if low != c and len(low) == 1:
+                pair = [letters.get(x, x).casefold() for x in (c, low)]
+                if all(len(x) == 1 for x in pair):
+                    self.join(*pair)
+        return self
+
+
+def _alphabet(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0]
+
+
+def _rank_of_case(c: str) -> int:
+    return {"Lu": 0, "Lt": 0, "Ll": 1}.get(unicodedata.category(c), 2)
+
+
+def derived_letters(skeletons: Callable[[list[str]], list[str]], listed: dict[str, str]) -> dict[str, str]:
+    """Letter -> prototype, from the classes that ``skeletons``, a public confusables function,
+    makes of single letters, without the letters of ``listed``.
+
+    In each class letters of the same case are folded to an ASCII letter, else to the Latin
+    letter or the letter of lowest code.  Letters without case join those with one where these
+    are of one case only.  A letter stays as it is if its alphabet has several in the class, if
+    it is of the prototype's own alphabet (Latin phonetic letters are taken for another one than
+    ASCII), or if folding it would part it from its other case or join two ASCII letters.
+    """
+    plain = [chr(i) for i in range(0x41, sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "L"]
+    plain = [c for c in plain if not unicodedata.decomposition(c) and c not in OTHER_INVISIBLE]
+    classes: dict[str, list[str]] = {}
+    for c, to in zip(plain, skeletons(plain)):
+        classes.setdefault(to, []).append(c)
+    found: dict[str, str] = {}
+    for members in classes.values():
+        groups = [[c for c in members if _rank_of_case(c) == k] for k in range(3)]
+        if groups[2] and bool(groups[0]) != bool(groups[1]):
+            groups = [groups[0] + groups[1] + groups[2]]
+        for g in groups:
+            ascii_ = [c for c in g if c.isascii()]
+            latin = [c for c in g if _alphabet(c) == "LATIN" and ord(c) < 0x250]
+            to = min(ascii_ or latin or g, default="")
+            if len(g) < 2 or len(ascii_) > 1 or len(to.casefold()) != 1:
+                continue
+            alphabets = Counter(map(_alphabet, g))
+            for c in g:
+                own = _alphabet(c)
+                phonetic = own == _alphabet(to) == "LATIN" and to.isascii() and ord(c) >= 0x250
+                if c != to and c not in listed and (phonetic or (own != _alphabet(to) and alphabets[own] == 1)):
+                    found[c] = to
+    letters, known = dict(listed), _Classes().of(listed)
+    for c in sorted(found):
+        other = c.swapcase()
+        if len(other) != 1 or known.join(found[c].casefold(), letters.get(other, other).casefold()):
+            letters[c] = found[c]
+    for c in letters:
+        while letters[c] in letters:
+            letters[c] = letters[letters[c]]
+    return letters
+
+
 class _Memo(dict):
     """A translation table that remembers characters without an entry, which str.translate
     would look up by a raised KeyError each time.  It can't outgrow the code space."""
@@ -157,21 +247,51 @@ class _Memo(dict):
         return code
 
 
+_ASCII_INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
+class Folding:
+    """The tables of one set of look-alike letters; made in the driver and sent to tasks, about 200 KB."""
+
+    def __init__(self, letters: dict[str, str]) -> None:
+        self.letters, self.table = letters, _Memo(prototypes(letters))
+        classes = _Classes().of(letters)
+        self.cases = _Memo({ord(c): classes.find(c) for c in classes.up})
+
+    def skeleton(self, text: str | None) -> str | None:
+        """The form shared by all texts that read the same; null stays null, empty stays empty."""
+        if text is None:
+            return None
+        if text.isascii():
+            return _ASCII_INVISIBLE.sub("", text)
+        return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(self.table))
+
+    def uncased(self, seen: str) -> str:
+        """A skeleton without differences of case, also of letters whose two cases look like those of different letters."""
+        return unicodedata.normalize("NFC", seen.casefold().translate(self.cases))
+
+
 @lru_cache(maxsize=1)
-def _table() -> _Memo:
-    return _Memo(prototypes())
+def listed() -> Folding:
+    """Folding by the listed letters alone, which needs no Spark."""
+    return Folding(listed_letters())
 
 
-_ASCII_INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_FOLDINGS: dict[str, Folding] = {}
+
+
+def folding(spark: SparkSession) -> Folding:
+    """Folding by the listed and the derived letters; made once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDINGS:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()  # noqa: SLF001
+        _FOLDINGS[app] = Folding(derived_letters(lambda chars: checker.getSkeleton("\n".join(chars)).split("\n"), listed_letters()))
+    return _FOLDINGS[app]
 
 
 def skeleton(text: str | None) -> str | None:
-    """The form shared by all texts that read the same; null stays null, empty stays empty."""
-    if text is None:
-        return None
-    if text.isascii():
-        return _ASCII_INVISIBLE.sub("", text)
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_table()))
+    """The skeleton by the listed letters alone."""
+    return listed().skeleton(text)
 
 
 def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> DataFrame:
@@ -183,7 +303,10 @@ def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> Da
     if to in schema.names:
         raise ValueError(f"column {to!r} is there already")
 
+    sent = df.sparkSession.sparkContext.broadcast(folding(df.sparkSession))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skeleton = sent.value.skeleton
         for b in batches:
             made = pa.array([skeleton(t) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*schema.names, to])
@@ -200,8 +323,10 @@ def skeleton_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     have no visible character are left out: they show nothing that could read the same.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(folding(docs.sparkSession))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest, skeleton = xxhash.xxh3_128_digest, sent.value.skeleton
         for b in batches:
             ids, own, alike = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
