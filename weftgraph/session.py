@@ -70,15 +70,16 @@ class Workspace:
             pass
         _delete(self.spark, self.root)
 
-    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None, buckets: int = 0, place: bool = False, ordered: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", bucket: str | None = None, buckets: int = 0, place: bool = False, ordered: bool = False, **options: str) -> DataFrame:
         """``df`` written and read back.  With ``buckets`` it becomes a table of so many buckets by
         the column ``bucket``, in a database of this workspace: a later join on the column needs no
         shuffle of it.  ``place`` first sends rows to their buckets' tasks, which a frame that is
-        partitioned so needs not; ``ordered`` sorts each bucket by the column."""
+        partitioned so needs not; ``ordered`` sorts each bucket by the column.  ``options`` are those
+        of the writer."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}-{name}"
         if not buckets:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         else:
             if not self.tables:
