@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm.leaks import FMIndex, Phrases, leak_spans, leaked_items, removal_spans, suffix_array, words
+from weftgraph.llm.leaks import FMIndex, leak_spans, leaked_items, removal_spans, shard_indexes, suffix_array, words
 
 PASSAGE = "Near Velbeck the old archive holds 886 cogs while the painted brewery holds 544 planks in 774 rows"
 
@@ -14,10 +14,10 @@ def test_index_finds_every_phrase(body):
     s = np.array([0, *body, 0], np.int32)
     sa = suffix_array(s)
     assert sorted(sa.tolist()) == list(range(len(s)))
-    index = FMIndex(s, 4, sample=4)
+    index = FMIndex.of(s, 4, sample=4)
     phrases = sorted({tuple(body[i : i + 3]) for i in range(len(body) - 2) if 0 not in body[i : i + 3]} | {(1, 2, 3), (4, 4, 4)})
-    which, low, high = index.search(np.array(phrases, np.int32).reshape(len(phrases), 3))
-    found = {phrases[p]: sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(which, low, high)}
+    which, low, high = index.search(np.array(phrases, np.int32).reshape(-1), np.arange(len(phrases)) * 3, 3)
+    found = {phrases[p // 3]: sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(which, low, high)}
     text = s.tolist()
     want = {p: [i for i in range(len(text)) if tuple(text[i : i + 3]) == p] for p in phrases}
     assert found == {p: at for p, at in want.items() if at}
@@ -51,14 +51,17 @@ def docs(make):
     return make(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 10}, {"block_chars": 50}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 10}, {"shard_words": 13}, {"shard_words": 30}, {"block_bytes": 50}])
 def test_leaks(spark, docs, items, options):
     got = {(r.doc_id, r.item_id) for r in leaked_items(spark, docs, items, **options).collect()}
     assert got == {(d, i) for d in (1, 3, 5, 6, 9) for i in (1, 2)}
 
 
-def test_spans(spark, docs, items):
-    spans = {(r.doc_id, r.item_id): (r.start_word, r.end_word) for r in leak_spans(spark, docs, items).collect()}
+@pytest.mark.parametrize("options", [{}, {"shard_words": 14, "block_bytes": 200}])
+def test_spans(spark, docs, items, options):
+    rows = leak_spans(spark, docs, items, **options).collect()
+    spans = {(r.doc_id, r.item_id): (r.start_word, r.end_word) for r in rows}
+    assert len(rows) == len(spans) == 10
     assert spans[1, 1] == spans[1, 2] == (1, 19) and spans[3, 1] == (1, 13)
     assert spans[6, 1] == (0, 18) and spans[6, 2] == (0, 21) and spans[9, 1] == (5000, 5018)
     merged = {r.doc_id: (r.start_word, r.end_word, r.n_items) for r in removal_spans(spark, docs, items).collect()}
@@ -68,7 +71,14 @@ def test_spans(spark, docs, items):
 def test_nothing(spark, docs, items):
     assert leaked_items(spark, docs, items.limit(0)).count() == 0
     assert leaked_items(spark, docs.limit(0), items).count() == 0
-    assert len(Phrases.of([(1, "a b")], 12).matrix) == 0
+
+
+def test_one_index_serves_many_sets(spark, docs, items):
+    shards = shard_indexes(spark, docs, shard_words=200)
+    assert shards.count() > 1
+    for chosen in ("item_id = 1", "item_id = 2", "item_id = 3"):
+        part = items.filter(chosen)
+        assert sorted(leaked_items(spark, docs, part, shards=shards).collect()) == sorted(leaked_items(spark, docs, part).collect())
 
 
 @pytest.mark.parametrize(
