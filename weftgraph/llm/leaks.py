@@ -91,7 +91,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         if j < n:
             key[: n - j] += own[j:] + 1
     while True:
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)  # equal keys get equal ranks, so their order is free
         in_order = key[sa]
         new = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
         if n == 0 or new[-1] == n - 1:
