@@ -24,9 +24,9 @@ def lines(make):
     return make(rows + rows[::2], "line_id long, matrix_id long, fmt string, kind string, line string, _f0 string")
 
 
-@pytest.mark.parametrize("task_rows", [0, 1_000_000])
-def test_bad_lines(lines, task_rows):
-    got = [(r.line_id, r.reason) for r in bad_lines(lines, task_rows=task_rows).collect()]
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1}, {"broadcast_bytes": -1, "task_rows": 0}])
+def test_bad_lines(lines, options):
+    got = [(r.line_id, r.reason) for r in bad_lines(lines, **options).collect()]
     assert sorted(got) == [(len(GOOD) + i, x[3]) for i, x in enumerate(BAD)]
 
 
@@ -44,6 +44,7 @@ def test_faults_are_named(lines):
 
 def test_long_lines_and_nothing(make):
     schema = "line_id long, matrix_id long, fmt string, kind string, line string"
-    long = [(1, 1, "csv", "real", ",".join(["1"] * 200_000)), (2, 1, "mtx", "real", '"1" ' * 100_000), (3, 1, "csv", "real", '"' * 300_000), (4, 1, "csv", "real", " " * 300_000 + "1,2,3")]
-    assert {r.line_id: r.reason for r in bad_lines(make(long, schema)).collect()} == {1: "columns", 2: "columns", 3: "quoting"}
+    long = [(1, 1, "csv", "real", ",".join(["1"] * 200_000)), (2, 1, "mtx", "real", '"1" ' * 100_000), (3, 1, "csv", "real", '"' * 300_000), (4, 1, "csv", "real", " " * 300_000 + "1,2,3"),
+            (5, 1, "csv", "real", "1" + " " * 300_000 + "x,2,3"), (6, 1, "mtx", "real", "1 2 3" + "\r" * 300_000 + "x")]
+    assert {r.line_id: r.reason for r in bad_lines(make(long, schema)).collect()} == {1: "columns", 2: "columns", 3: "quoting", 5: "value", 6: "value"}
     assert bad_lines(make([], schema)).count() == load_lines(make([], schema)).count() == 0

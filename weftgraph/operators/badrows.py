@@ -4,13 +4,15 @@ Structure (quoting, number of fields) is checked in each line by built-in expres
 parsed once and written with their fields.  Each distinct spelling of an index or a value is cast
 once: that gives a dictionary of spellings with the number they stand for, or the reason why they
 stand for none.  The invalid part of the dictionary is joined back to find bad lines, the valid
-part to load good ones.  The dictionary knows how often each spelling occurs, so one that stands
-in a third of all lines is spread over tasks in those joins.
+part to load good ones.  The invalid part is broadcast where its bytes, counted while it was
+written, are few.  Else, and for the valid part, which grows with the data, places of spellings
+are joined by a shuffle; the dictionary knows how often each spelling occurs, so one that stands
+in a third of all lines is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.operators.hot import SHARE, TASK_ROWS, spread_join
@@ -18,7 +20,6 @@ from weftgraph.session import Workspace
 
 BLANK = " \t\r"
 INDEX_MAX = 2147483647
-_HIDE = {",": "\ue000", " ": "\ue001", "\t": "\ue002", "\r": "\ue003"}
 FIELDS = ("row", "col", "value")
 
 
@@ -35,24 +36,22 @@ def parse_lines(lines: DataFrame, line: str = "line", fmt: str = "fmt", kind: st
     """
     body = _trim(F.col(line))
     data = lines.withColumn("_body", body).filter("_body <> '' AND NOT startswith(_body, '%')")
-    b, csv = F.col("_body"), F.coalesce(F.col(fmt) == "csv", F.lit(False))
+    b, csv, has = F.col("_body"), F.coalesce(F.col(fmt) == "csv", F.lit(False)), F.col("_quoted")
     # Every quote must belong to a pair around one whole field: count such pairs, and all quotes.
     pairs = F.when(csv, F.regexp_count(b, F.lit(r'(?<=^|,)[ \t\r]*+"[^"]*"[ \t\r]*+(?=,|\z)'))).otherwise(F.regexp_count(b, F.lit(r'(?<![^ \t\r])"[^"]*"(?![^ \t\r])')))
     quotes = F.length(b) - F.length(F.replace(b, F.lit('"'), F.lit("")))
-    has = F.contains(b, F.lit('"'))
-    quoted_well = ~has | (pairs * 2 == quotes)
-    # Separators inside quotes are hidden from the split and shown again afterwards.
-    hide = lambda x: F.translate(x, "".join(_HIDE), "".join(_HIDE.values()))
-    show = lambda x: F.translate(x, "".join(_HIDE.values()), "".join(_HIDE))
-    hidden = F.when(has, F.concat_ws('"', F.transform(F.split(b, '"'), lambda x, i: F.when(i % 2 == 1, hide(x)).otherwise(x)))).otherwise(b)
-    data = data.withColumn("_fields", F.when(quoted_well, F.when(csv, F.split(hidden, ",")).otherwise(F.split(hidden, r"\r*[ \t][ \t\r]*"))))
+    # Quoted fields may hold separators, so lines with quotes are read field by field, all others split.
+    read = F.when(csv, F.regexp_extract_all(F.concat(b, F.lit(",")), F.lit(r'([ \t\r]*+"[^"]*"[ \t\r]*+|[^",]*+),'), F.lit(1)))
+    read = read.otherwise(F.regexp_extract_all(b, F.lit(r'"[^"]*"|[^ \t\r"](?:[^ \t"]*[^ \t\r"])?'), F.lit(0)))
+    cut = F.when(csv, F.split(b, ",")).otherwise(F.split(b, r"(?<!\r)\r*+[ \t][ \t\r]*+"))
+    data = data.withColumn("_quoted", F.contains(b, F.lit('"')))
+    data = data.withColumn("_fields", F.when(~has, cut).when(pairs * 2 == quotes, read))
     expected = F.when(F.col(kind) == "pattern", 2).otherwise(3)
     structure = F.when(F.col("_fields").isNull(), "quoting").when(F.size("_fields") != expected, "columns")
-    raw = lambda i: _trim(F.get("_fields", F.lit(i)))
-    plain = lambda i: F.when(F.startswith(raw(i), F.lit('"')), show(F.regexp_replace(raw(i), '"', ""))).otherwise(raw(i))
     sound = data.withColumn("_structure", structure)
+    plain = lambda i: F.replace(_trim(F.get("_fields", F.lit(i))), F.lit('"'), F.lit(""))
     at = [F.when(F.col("_structure").isNull() & (F.lit(i) < expected), F.coalesce(plain(i), F.lit(""))).alias(f"_f{i}") for i in range(3)]
-    return sound.select(*[c for c in sound.columns if c not in ("_body", "_fields")], *at)
+    return sound.select(*[c for c in sound.columns if c not in ("_body", "_quoted", "_fields")], *at)
 
 
 def index_fault(c: Column) -> Column:
@@ -70,6 +69,8 @@ def value_fault(c: Column) -> Column:
 
 
 INDEX, VALUE = 0, 1
+#: Bytes of invalid spellings and their reasons up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 class _Lines:
@@ -85,7 +86,18 @@ class _Lines:
         raw, index = F.col("raw"), F.col("kind") == INDEX
         known = self.spelt.groupBy("kind", "raw").agg(F.count("*").alias("n"))
         fault = F.when(index, index_fault(raw)).otherwise(value_fault(raw))
-        self.known = self.ws.keep(known.select("kind", "raw", "n", fault.alias("fault"), F.when(index, raw.try_cast("bigint")).alias("whole"), F.when(~index, raw.try_cast("double")).alias("real")), "spellings")
+        seen = Observation()
+        size = F.sum(F.when(F.col("fault").isNotNull(), F.octet_length("raw") + 64)).alias("bytes")
+        cast = known.select("kind", "raw", "n", fault.alias("fault"), F.when(index, raw.try_cast("bigint")).alias("whole"), F.when(~index, raw.try_cast("double")).alias("real"))
+        self.known = self.ws.keep(cast.observe(seen, size), "spellings")
+        self.invalid_bytes = seen.get["bytes"] or 0
+
+    def invalid(self, broadcast_bytes: int) -> DataFrame:
+        """Each place of an invalid spelling with what is wrong with it."""
+        known = self.known.filter("fault IS NOT NULL")
+        if self.invalid_bytes <= broadcast_bytes:
+            return self.spelt.join(F.broadcast(known.drop("n")), ["kind", "raw"])
+        return self.joined(known)
 
     def joined(self, known: DataFrame) -> DataFrame:
         """Each place of a spelling of ``known`` with what the dictionary says of it."""
@@ -93,7 +105,7 @@ class _Lines:
         return spread_join(self.spelt, known.drop("n"), ["kind", "raw"], "_row", self.size, task_rows=self.task_rows, hot=hot)
 
 
-def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", fmt: str = "fmt", kind: str = "kind", task_rows: int = TASK_ROWS) -> DataFrame:
+def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", fmt: str = "fmt", kind: str = "kind", task_rows: int = TASK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(line_id, reason, fault): one row for each distinct line that cannot be read; reason is the
     first that applies of ``quoting``, ``columns``, ``value``, fault says which fields are wrong.
 
@@ -102,7 +114,7 @@ def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", fm
     """
     t = _Lines(lines, {"line_id": line_id, "line": line, "fmt": fmt, "kind": kind}, task_rows)
     text = F.concat(F.element_at(F.array(*(F.lit(f"{x}: ") for x in FIELDS)), F.col("field") + 1), F.col("fault"))
-    wrong = t.joined(t.known.filter("fault IS NOT NULL")).groupBy("_row", "line_id").agg(F.array_sort(F.collect_list(F.struct("field", text.alias("text")))).alias("all"))
+    wrong = t.invalid(broadcast_bytes).groupBy("_row", "line_id").agg(F.array_sort(F.collect_list(F.struct("field", text.alias("text")))).alias("all"))
     values = wrong.select("line_id", F.lit("value").alias("reason"), F.array_join(F.col("all.text"), "; ").alias("fault"))
     return t.parsed.filter("_structure IS NOT NULL").select("line_id", F.col("_structure").alias("reason"), F.lit(None).cast("string").alias("fault")).union(values).distinct()
 

@@ -58,12 +58,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return bad_lines(table(spark, d, "matrix_line")).select("line_id", "reason")
 
 
+def p4_spread(spark: SparkSession, d: str) -> DataFrame:
+    """p4_found by the way for any number of invalid spellings, hot ones spread."""
+    return bad_lines(table(spark, d, "matrix_line"), task_rows=0, broadcast_bytes=-1).select("line_id", "reason")
+
+
 def p4_elements(spark: SparkSession, d: str) -> DataFrame:
     e = load_lines(table(spark, d, "matrix_line"))
     return e.select("line_id", F.col("owner").alias("matrix_id"), "row", "col", F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_row_stats, p2_row_medians, p2_csr_rows, p3_found, p3_ranges, p3_report, p4_found, p4_elements)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_row_stats, p2_row_medians, p2_csr_rows, p3_found, p3_ranges, p3_report, p4_found, p4_spread, p4_elements)}
 
 _DANGLING = """
 WITH m AS (SELECT DISTINCT matrix_id, height, width, valid_from, valid_to FROM sparse_matrix WHERE matrix_id IS NOT NULL),
@@ -134,3 +139,4 @@ ORACLE_SQL = {
             CASE WHEN pattern THEN 1.0::DOUBLE ELSE round(CAST(fields[3] AS DOUBLE), 6) END AS value
         FROM v WHERE well AND complete AND sound""",
 }
+ORACLE_SQL["p4_spread"] = ORACLE_SQL["p4_found"]
