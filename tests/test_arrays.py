@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import elementwise
-from weftgraph.operators import order, relational, scan
+from weftgraph.operators import hot, order, relational, scan
 
 
 @pytest.fixture(scope="module")
@@ -208,6 +208,20 @@ def test_segments_and_products(make):
     assert sorted(tuple(r) for r in relational.spmv(m, x, semiring=relational.MIN_PLUS).collect()) == [(0, 11.0), (2, 14.0)]
     assert sorted(tuple(r) for r in relational.spgemm(m, m).collect()) == [(0, 0, 1.0, 1), (0, 1, 5.0, 2), (2, 0, 4.0, 1), (2, 1, 20.0, 2)]
     assert relational.products(m, m).first()[0] == 6
+    p = relational.PreparedMatrix(m)
+    assert p.layout.n_hubs and sorted(tuple(r) for r in p.apply(x, rows).collect()) == [(0, 510.0), (1, 0.0), (2, 40.0)]
+    assert sorted(tuple(r) for r in p.apply(x, semiring=relational.MIN_PLUS).collect()) == [(0, 11.0), (2, 14.0)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_joins_are_joins(make, how):
+    r = random.Random(4)
+    big = [(7 if r.random() < 0.4 else r.randrange(30), i) for i in range(400)] + [(None, 400)]
+    small = [(k, k * 10) for k in range(0, 30, 2)] + [(7, 70), (7, 71)]
+    b, s = make(big, "k long, i long"), make(small, "k long, x long")
+    want = sorted(map(tuple, b.join(s, "k", how).collect()), key=str)
+    for options in ({}, {"task_rows": 0}, {"task_rows": 0, "share": 5}):
+        assert sorted(map(tuple, hot.spread_join(b, s, "k", "i", 401, how, **options).collect()), key=str) == want
 
 
 def test_elementwise(make):

@@ -27,7 +27,7 @@ def spread_join(
     big: DataFrame, small: DataFrame, key: str | list[str], by: str, rows: int, how: str = "inner", task_rows: int = TASK_ROWS, share: int = SHARE, hot: DataFrame | None = None
 ) -> DataFrame:
     """``big`` joined with ``small``, which holds each key at most a few times, on the columns
-    ``key``; ``how`` is inner, left or left_semi.  Rows of one hot key in ``big`` are spread by the
+    ``key`` (its rows are copied to each part); ``how`` is inner, left or left_semi.  Rows of one hot key in ``big`` are spread by the
     hash of ``by``.  ``rows`` is the number of rows of ``big``; ``hot`` its hot_keys, if known.
     Null keys match nothing."""
     keys = [key] if isinstance(key, str) else key

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.engine import Layout
 from weftgraph.operators.order import number_rows, repeated
+from weftgraph.program import Along
 from weftgraph.session import Workspace, buckets_for
 
 NO_MATCH = -1
@@ -125,7 +127,7 @@ def spmv(matrix: DataFrame, x: DataFrame, rows: DataFrame | None = None, semirin
     times, plus, identity = semiring
     term = F.col("x") if unary else times(F.col("value"), F.col("x"))
     y = matrix.join(x, "col").groupBy("row").agg(plus(term).alias("y"))
-    return rows.select("row").join(y, "row", "left").select("row", F.coalesce("y", F.lit(identity)).alias("y")) if rows is not None else y
+    return y if rows is None else _all_rows(y, rows, identity)
 
 
 def spmv_indirect(matrix: DataFrame, x: DataFrame, sources: DataFrame, semiring=PLUS_TIMES, unary: bool = False) -> DataFrame:  # noqa: ANN001
@@ -167,16 +169,24 @@ class PreparedSegments:
 
 
 class PreparedMatrix:
-    """A sparse matrix laid out once, for many vectors: written bucketed by column, so a
-    product moves the vector and the partial sums of rows."""
+    """A sparse matrix laid out once, for many vectors: bucketed by column, the elements of hot
+    columns spread, so a product moves the vector and the partial sums of rows."""
 
     def __init__(self, matrix: DataFrame) -> None:
         ws = Workspace(matrix.sparkSession)
-        n = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.matrix = ws.keep(matrix.select("row", "col", "value").repartition(n, "col"), "matrix", bucket="col")
+        elements, n = ws.counted(matrix.select(F.col("col").alias("src"), F.col("row").alias("dst"), F.col("value").alias("w")).filter("src IS NOT NULL"), "elements")
+        self.layout = Layout(ws, elements, Along.OUT, n)
+        ws.drop(elements)
 
     def apply(self, x: DataFrame, rows: DataFrame | None = None, semiring=PLUS_TIMES, unary: bool = False) -> DataFrame:  # noqa: ANN001
-        return spmv(self.matrix, x, rows, semiring, unary)
+        times, plus, identity = semiring
+        each = self.layout.join(x.select(F.col("col").alias("id"), "x"))
+        y = each.groupBy(F.col("u").alias("row")).agg(plus(F.col("x") if unary else times(F.col("w"), F.col("x"))).alias("y"))
+        return y if rows is None else _all_rows(y, rows, identity)
+
+
+def _all_rows(y: DataFrame, rows: DataFrame, identity: object) -> DataFrame:
+    return rows.select("row").join(y, "row", "left").select("row", F.coalesce("y", F.lit(identity)).alias("y"))
 
 
 def column_ranges(matrix: DataFrame) -> DataFrame:
