@@ -38,9 +38,10 @@ def test_skeleton_is_a_fixed_point(spark):
     assert skeleton(None) is None and skeleton("") == "" and skeleton("plain text\r\n\t") == "plain text\r\n\t"
 
 
-def test_pairs(make):
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_pairs(make, task_rows):
     rows = [(3, "Dear"), (1, "Dеаr"), (2, "Dear"), (2, "Dear"), (4, "dear"), (5, None), (6, ""), (7, "​"), (8, " "), (9, " "), (10, "Ｄｅａｒ"), (None, "Dеar")]
-    got = sorted(tuple(r) for r in visually_equal_pairs(make(rows, "doc_id long, text string")).collect())
+    got = sorted(tuple(r) for r in visually_equal_pairs(make(rows, "doc_id long, text string"), task_rows=task_rows).collect())
     assert got == [(1, 2), (1, 3), (1, 10), (2, 10), (3, 10)]
     assert visually_equal_pairs(make([], "doc_id long, text string")).count() == 0
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.operators.hot import TASK_ROWS, spread_join
 from weftgraph.session import Workspace
 
 # Each line holds a prototype and the letters of other scripts drawn like it.
@@ -351,25 +352,32 @@ def visually_equal_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     alone is no case, however large: the least and largest digest of its texts decide, so
     nothing is collected per group.
     """
+    return _groups(docs, id_col, text)[0]
+
+
+def _groups(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
+    """visually_equal_groups, and the number of its rows."""
     ws = Workspace(docs.sparkSession)
     all_ = ws.keep(skeleton_digests(docs, id_col, text), "digests")
     span = [f(c).alias(f"{n}{c}") for c in ("t0", "t1") for n, f in (("a", F.min), ("b", F.max))]
     mixed = all_.groupBy("s0", "s1").agg(*span).filter("at0 <> bt0 OR at1 <> bt1").select("s0", "s1")
-    return ws.keep(all_.join(mixed, ["s0", "s1"], "left_semi").filter("id IS NOT NULL").distinct(), "groups")
+    return ws.counted(all_.join(mixed, ["s0", "s1"], "left_semi").filter("id IS NOT NULL").distinct(), "groups")
 
 
-def visually_equal_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def visually_equal_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", task_rows: int = TASK_ROWS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: documents whose texts are different strings with equal skeletons.
 
     Exact copies are never paired with each other.  Rows delivered twice under one id count
     once; null ids are left out.  An empty table gives no rows.
     """
-    g = visually_equal_groups(docs, id_col, text)
+    g, n = _groups(docs, id_col, text)
     # Pairs are formed between different texts, one row each, and then given their documents:
     # a text with a third of all rows costs what it puts out, not its square.
     classes = g.select("s0", "s1", "t0", "t1").distinct()
     other = classes.toDF("s0", "s1", "u0", "u1")
-    texts = classes.join(other, ["s0", "s1"]).filter("t0 < u0 OR (t0 = u0 AND t1 < u1)").select("t0", "t1", "u0", "u1")
-    left = texts.join(g.select("t0", "t1", F.col("id").alias("x")), ["t0", "t1"])
-    both = left.join(g.select(F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("id").alias("y")), ["u0", "u1"])
+    # A skeleton of very many spellings, and a text of very many copies, are spread over tasks.
+    near = spread_join(classes, other, ["s0", "s1"], "t0", n, task_rows=task_rows)
+    texts = near.filter("t0 < u0 OR (t0 = u0 AND t1 < u1)").select("t0", "t1", "u0", "u1")
+    left = spread_join(g.select("t0", "t1", F.col("id").alias("x")), texts, ["t0", "t1"], "x", n, task_rows=task_rows)
+    both = spread_join(g.select(F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("id").alias("y")), left, ["u0", "u1"], "y", n, task_rows=task_rows)
     return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
