@@ -35,6 +35,7 @@ def shortest(edges, source):
 def test_plans_agree(spark, skewed, monkeypatch, sparse):
     """Only sparse supersteps, both kinds, and only dense ones."""
     monkeypatch.setattr(engine, "SPARSE", sparse)
+    monkeypatch.setattr(engine, "PASS_ROWS", 0)
     monkeypatch.setattr(engine, "DELTAS", 2)
     edges, g = skewed
     report = Report()
@@ -45,6 +46,7 @@ def test_plans_agree(spark, skewed, monkeypatch, sparse):
 
 @pytest.mark.parametrize("sparse", [0, 10**9])
 def test_gathering_plans_agree(spark, monkeypatch, sparse):
+    monkeypatch.setattr(engine, "PASS_ROWS", 0)
     monkeypatch.setattr(engine, "SPARSE", sparse)
     got = by_id(ranks.pagerank(graph(spark, SMALL)), "rank")
     assert got == pytest.approx([0.15, 0.247042, 0.1925, 0.1925, 0.414527, 0.286354, 0.827562], abs=2e-4)
@@ -54,6 +56,7 @@ def test_gather_and_expand_along_other_edges(spark, monkeypatch):
     """A program that gathers over the edges it also sends along takes two passes."""
     odd = dataclasses.replace(ranks.program(), gather=engine.Along.OUT, gather_edge=lambda s, e: s("rank"), gather_sum="max", apply=lambda s, got, step: {"rank": got}, changed=lambda s, new, got, step: got != s("rank"))
     out = []
+    monkeypatch.setattr(engine, "PASS_ROWS", 0)
     for sparse in (0, 10**9):
         monkeypatch.setattr(engine, "SPARSE", sparse)
         out.append(by_id(run(graph(spark, SMALL), odd), "rank"))

@@ -33,11 +33,11 @@ def program(damping: float = DAMPING, change_tol: float = CHANGE_TOL) -> Program
     )
 
 
-def pagerank(graph: Graph, directed: bool = True, damping: float = DAMPING, change_tol: float = CHANGE_TOL, iter_num: int | None = None, report: Report | None = None) -> DataFrame:
+def pagerank(graph: Graph, directed: bool = True, damping: float = DAMPING, change_tol: float = CHANGE_TOL, iter_num: int | None = None, report: Report | None = None, pass_rows: int | None = None) -> DataFrame:
     """(id, rank): all vertices start with 1 - damping; a vertex is recomputed when one with
     an edge to it moved by at least ``change_tol``; ends when none did.  If not ``directed``,
     edges count both ways, for degrees too.  ``iter_num`` caps the supersteps."""
-    return run(graph.view(directed), program(damping, change_tol), iter_num=iter_num, report=report).select("id", "rank")
+    return run(graph.view(directed), program(damping, change_tol), iter_num=iter_num, report=report, pass_rows=pass_rows).select("id", "rank")
 
 
 def pagerank_fixed(graph: Graph, rounds: int, directed: bool = True, damping: float = DAMPING) -> DataFrame:

@@ -35,10 +35,10 @@ def ids(graph: Graph, sources: list[int]) -> DataFrame:
     return graph.vertices.sparkSession.createDataFrame([(int(s),) for s in sources], "id bigint")
 
 
-def bfs(graph: Graph, sources: list[int], directed: bool = True, iter_num: int | None = None, report: Report | None = None) -> DataFrame:
+def bfs(graph: Graph, sources: list[int], directed: bool = True, iter_num: int | None = None, report: Report | None = None, pass_rows: int | None = None) -> DataFrame:
     """(id, level): smallest number of edges from the nearest source, -1 if there is no path.
     ``iter_num`` k keeps levels 0 to k."""
-    out = run(graph.view(directed), BFS, ids(graph, sources), iter_num, report=report)
+    out = run(graph.view(directed), BFS, ids(graph, sources), iter_num, report=report, pass_rows=pass_rows)
     return out.select("id", F.coalesce("level", F.lit(UNREACHED_LEVEL)).alias("level"))
 
 
@@ -58,13 +58,13 @@ def predecessors(graph: Graph, levels: DataFrame, directed: bool = True, compat:
     return levels.select("id").join(best, "id", "left").select("id", F.coalesce("pred", F.lit(-1)).cast("bigint").alias("pred"))
 
 
-def sssp(graph: Graph, sources: list[int], directed: bool = True, iter_num: int | None = None, max_supersteps: int | None = None, report: Report | None = None) -> DataFrame:
+def sssp(graph: Graph, sources: list[int], directed: bool = True, iter_num: int | None = None, max_supersteps: int | None = None, report: Report | None = None, pass_rows: int | None = None) -> DataFrame:
     """(id, dist): smallest weight of a path from the nearest source, 2147483647 if there is none.
 
     Messages arrive one superstep after they were sent: ``iter_num`` k keeps paths of at most
     k - 1 edges.  Negative weights are allowed; a negative cycle raises RuntimeError.
     """
-    out = run(graph.view(directed), SSSP, ids(graph, sources), iter_num, max_supersteps, report)
+    out = run(graph.view(directed), SSSP, ids(graph, sources), iter_num, max_supersteps, report, pass_rows)
     return out.select("id", F.coalesce("dist", F.lit(UNREACHED_DISTANCE)).alias("dist"))
 
 

@@ -27,8 +27,11 @@ from weftgraph.model import Graph
 from weftgraph.program import COMBINE, Along, Program
 from weftgraph.session import Workspace, buckets_for
 
-#: A superstep is sparse where its frontier, times the mean degree, is below 1 / SPARSE of the vertices.
+#: A superstep is sparse where its frontier, times the mean degree, is below 1 / SPARSE of the vertices,
+#: and the graph has more than PASS_ROWS vertices and edges: a pass over fewer costs less than the
+#: sparse plan's additional stages.
 SPARSE = 8
+PASS_ROWS = 2_000_000
 #: So many deltas are merged into one.
 DELTAS = 6
 REVERSE = {Along.OUT: Along.IN, Along.IN: Along.OUT, Along.ALL: Along.ALL}
@@ -106,8 +109,8 @@ def expand(active: DataFrame, edges: DataFrame | Layout, along: Along, message,
 class _Run:
     """State of one run: ``base`` (id, state, active, msg), and deltas of the same columns, the later ones above the earlier."""
 
-    def __init__(self, ws: Workspace, graph: Graph, program: Program, report: Report) -> None:
-        self.ws, self.program, self.report = ws, program, report
+    def __init__(self, ws: Workspace, graph: Graph, program: Program, report: Report, pass_rows: int | None) -> None:
+        self.ws, self.program, self.report, self.pass_rows = ws, program, report, PASS_ROWS if pass_rows is None else pass_rows
         seen = Observation()
         edges = ws.keep(graph.edges.observe(seen, F.count(F.lit(1)).alias("n")), "graph")
         self.graph, self.edges = Graph(graph.vertices, edges), seen.get["n"]
@@ -270,20 +273,22 @@ class _Run:
             self._merge()
 
     def step(self, k: int) -> str:
-        few = self.active * max(1.0, self.layout(self.program.expand).size / max(1, self.n)) * SPARSE < self.n
+        size = self.layout(self.program.expand).size
+        few = self.n + size > self.pass_rows and self.active * max(1.0, size / max(1, self.n)) * SPARSE < self.n
         (self.sparse if few else self.dense)(k)
         return "sparse" if few else "dense"
 
 
-def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_num: int | None = None, max_supersteps: int | None = None, report: Report | None = None) -> DataFrame:
+def run(graph: Graph, program: Program, sources: DataFrame | None = None, iter_num: int | None = None, max_supersteps: int | None = None, report: Report | None = None, pass_rows: int | None = None) -> DataFrame:
     """(id, state columns): run until no vertex is active, or for ``iter_num`` supersteps.
 
     ``sources`` holds the ids that start active, unless the program starts with all.  Ids not
     in the graph are ignored.  Where ``iter_num`` is not given, more than ``max_supersteps``
     (default: vertices + 1) raise RuntimeError: the program does not end on this graph.
+    Supersteps of graphs of up to ``pass_rows`` vertices and edges are all dense.
     """
     began, report = time.monotonic(), report if report is not None else Report()
-    r = _Run(Workspace(graph.vertices.sparkSession), graph, program, report)
+    r = _Run(Workspace(graph.vertices.sparkSession), graph, program, report, pass_rows)
     r.start(sources)
     report.setup = round(time.monotonic() - began, 3)
     limit = max_supersteps if max_supersteps is not None else program.max_supersteps or r.n + 1

@@ -112,6 +112,17 @@ def sssp_undirected(spark: SparkSession, d: str) -> DataFrame:
     return sssp(copurchase(spark, d), [1], directed=False)
 
 
+@query(f"WITH RECURSIVE {CO}, {_bfs_sql()} {LEVELS}")
+def bfs_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Small frontiers by the sparse plan, whatever the graph's size."""
+    return bfs(copurchase(spark, d), [1], pass_rows=0)
+
+
+@query(f"WITH RECURSIVE {CO}, {_sssp_sql()} {DISTANCES}")
+def sssp_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return sssp(copurchase(spark, d), [1], pass_rows=0)
+
+
 @query(f"WITH RECURSIVE {HUB}, {_sssp_sql(source=0)} SELECT id, coalesce(dist, 2147483647) AS dist FROM v LEFT JOIN s ON s.v = v.id")
 def sssp_hub(spark: SparkSession, d: str) -> DataFrame:
     """A third of all edges leave one vertex, the source."""
@@ -203,6 +214,12 @@ def pagerank_frontier(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank(copurchase(spark, d)))
 
 
+@query(f"WITH RECURSIVE {CO}, {_pagerank_sql('g')}")
+def pagerank_gathered(spark: SparkSession, d: str) -> DataFrame:
+    """Small frontiers gather over their own edges only, whatever the graph's size."""
+    return _rounded(pagerank(copurchase(spark, d), pass_rows=0))
+
+
 @query(f"WITH RECURSIVE {CO}, {_pagerank_sql('g', 3)}")
 def pagerank_capped(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pagerank(copurchase(spark, d), iter_num=3))
