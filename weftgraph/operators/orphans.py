@@ -15,6 +15,7 @@ one range's arrays and one batch.  All versions of one key stand in one range.
 from __future__ import annotations
 
 import io
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -209,10 +210,10 @@ def dangling_references(
         for a, z in zip(cuts, [*cuts[1:], len(order)]):
             at = order[a:z]
             data = [Extents.of(key[at], x[at], f[at], e[at], key[at]).pack() for x in extents]
-            yield pa.RecordBatch.from_pydict({"low": pa.array([key[at[0]]], pa.int64()), "arrays": pa.array([data], pa.list_(pa.binary()))})
+            yield pa.RecordBatch.from_pydict({"low": pa.array([key[at[0]]], pa.int64()), "arrays": pa.array([pickle.dumps(data)], pa.binary())})
 
-    packed = ws.keep(p.repartitionByRange(tasks, "key").mapInArrow(pack, "low bigint, arrays array<binary>"), "parents")
-    size, n = packed.agg(F.sum(F.expr("aggregate(arrays, 0L, (s, x) -> s + length(x))")), F.count("*")).first()
+    packed = ws.keep(p.repartitionByRange(tasks, "key").mapInArrow(pack, "low bigint, arrays binary"), "parents")
+    size, n = packed.agg(F.sum(F.octet_length("arrays")), F.count("*")).first()
     # Index columns are checked here: a row whose indexes are all null refers to nothing.
     r = refs.select(F.col(f"`{ref_id}`").alias("id"), F.col(f"`{ref_key}`").cast("bigint").alias("key"), F.col(f"`{ref_time}`").alias("time"), *(F.col(f"`{c}`").cast("bigint").alias(f"x{i}") for i, c in enumerate(fields)))
     id_type, time_type = r.schema["id"].dataType.simpleString(), r.schema["time"].dataType.simpleString()
@@ -235,7 +236,7 @@ def dangling_references(
 
     if (size or 0) <= broadcast_bytes:
         rows = packed.select("low", "arrays").orderBy("low").collect()  # at most broadcast_bytes, as just measured
-        sent = refs.sparkSession.sparkContext.broadcast([(x.low, [bytes(a) for a in x.arrays]) for x in rows])
+        sent = refs.sparkSession.sparkContext.broadcast([(x.low, pickle.loads(bytes(x.arrays))) for x in rows])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lows = np.array([low for low, _ in sent.value], np.int64)
@@ -271,8 +272,8 @@ def dangling_references(
         for x in counts:
             salts[x["range"]] = -(-x.n // rows_per_salt)
         shares = spark.sparkContext.broadcast(salts)
-        moving = F.lit(None).cast("array<binary>").alias("arrays")
-        layout = f"range bigint, salt bigint, is_ref int, arrays array<binary>, {', '.join(f'`{c}` {t}' for c, t in r.dtypes)}"
+        moving = F.lit(None).cast("binary").alias("arrays")
+        layout = f"range bigint, salt bigint, is_ref int, arrays binary, {', '.join(f'`{c}` {t}' for c, t in r.dtypes)}"
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -301,7 +302,7 @@ def dangling_references(
                     if (group := (pair[0, a], pair[1, a])) != now:
                         now, extents = group, None
                     while t.num_rows and not t["is_ref"][0].as_py():
-                        extents = [Extents.unpack(x.as_py()) for x in t["arrays"][0]]
+                        extents = [Extents.unpack(x) for x in pickle.loads(t["arrays"][0].as_py())]
                         t = t.slice(1)
                     if t.num_rows:
                         yield from probe(t, lambda key, e=extents: [(slice(None), e)] if e else [])
