@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphs import TRIVIAL, graph
 from weftgraph.algorithms.pagerank import pagerank_delta
+from weftgraph.operators import relational
 from weftgraph.plans import array_queries, graph_queries
 
 
@@ -53,6 +55,24 @@ def test_whole_joins_with_a_hot_key(spark, tables, kind):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["full"])
+def test_joins_in_blocks_of_pairs(make, kind):
+    """Key 7 has 1,200 pairs, key 8 as many with one row on one side, key 9 ten; 1, 2 and null have no partner."""
+    a = [(i, 7) for i in range(40)] + [(100, 8), (101, 9), (102, 9), (103, 1), (104, None)]
+    b = [(i, 7) for i in range(30)] + [(i, 8) for i in range(100, 1300)] + [(i, 9) for i in range(2000, 2005)] + [(3000, 2), (3001, None)]
+    want = Counter((k, i, j) for i, k in a for j, m in b if k == m and k is not None)
+    if kind in ("left", "full"):
+        want.update([(1, 103, -1), (None, 104, -1)])
+    if kind in ("right", "full"):
+        want.update([(2, -1, 3000), (None, -1, 3001)])
+    frames = [make(rows, "pos long, key long") for rows in (a, b)]
+    got = relational.relational_join(*frames, kind, block=100)
+    assert Counter(map(tuple, got.collect())) == want
+    # No task makes all pairs of a hot key, and none holds them in memory.
+    assert max(r.n for r in got.groupBy(F.spark_partition_id(), "key").agg(F.count("*").alias("n")).collect()) < 1000
+    assert "FullOuter" not in got._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
 # A chain of parts in orders of two lines, longer than two hops; sizes on both sides of 5.
 CHAIN = [(1, 2, 3), (2, 3, 1), (3, 4, 8), (4, 5, 2), (4, 2, 5), (6, 1, 4)]
 SIZES = {1: 1, 2: 9, 3: 50, 4: 5, 5: 6, 6: 30, 7: 8}

@@ -2,28 +2,76 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.engine import Layout
+from weftgraph.operators.hot import SHARE
 from weftgraph.operators.order import number_rows, repeated
 from weftgraph.program import Along
 from weftgraph.session import Workspace, buckets_for
 
 NO_MATCH = -1
+#: Pairs of a join in one block, and blocks in one task.
+BLOCK_PAIRS = 2_000_000
+TASK_BLOCKS = 8
 
 
-def relational_join(a: DataFrame, b: DataFrame, kind: str = "inner", key: str = "key", pos: str = "pos") -> DataFrame:
+def relational_join(a: DataFrame, b: DataFrame, kind: str = "inner", key: str = "key", pos: str = "pos", block: int = BLOCK_PAIRS) -> DataFrame:
     """(key, a_pos, b_pos): one row for each pair of equal keys; ``kind`` inner, left, right or
-    full keeps rows without a partner, whose position is then -1.  Null keys match nothing."""
+    full keeps rows without a partner, whose position is then -1.  Null keys match nothing.
+
+    Pairs are counted first.  Beyond ``block`` of them, tasks get equal shares of the pairs and not of
+    the rows: a key with more than ``block`` pairs (and more than 1 / SHARE of all) is cut into blocks
+    of its rows on both sides."""
     x = a.select(F.col(key).alias("ka"), F.col(pos).alias("pa"))
     y = b.select(F.col(key).alias("kb"), F.col(pos).alias("pb"))
-    j = x.join(y, F.col("ka") == F.col("kb"), kind)
+    same = F.col("ka") == F.col("kb")
+    na, nb = F.col("_na").cast("double"), F.col("_nb").cast("double")
+    counts = x.groupBy("ka").agg(F.count("*").alias("_na")).join(y.groupBy("kb").agg(F.count("*").alias("_nb")), same).select("ka", "_na", "_nb", (na * nb).alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if (total or 0) <= block:
+        j = x.join(y, same, kind)
+    else:
+        n = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (TASK_BLOCKS * block)))
+        size = max(block, total / SHARE)
+        if most <= size:
+            j = _matched(x, y, kind, n)
+        else:
+            # Copies of rows are fewest where blocks have as many rows of either side.
+            parts = F.least(na, F.ceil(F.sqrt(F.col("_n") / size * na / nb)))
+            hot = counts.filter(F.col("_n") > size).select(F.col("ka").alias("_key"), parts.cast("int").alias("_pa"), F.ceil(F.col("_n") / size / parts).cast("int").alias("_pb"))
+            few = F.broadcast(hot)
+            cold = _matched(x.join(few, F.col("ka") == F.col("_key"), "left_anti"), y.join(few, F.col("kb") == F.col("_key"), "left_anti"), kind, n)
+            u = x.join(few, F.col("ka") == F.col("_key")).select("ka", "pa", _part("pa", "_pa").alias("_ia"), _copies("_pb").alias("_ja"))
+            v = y.join(few, F.col("kb") == F.col("_key")).select("kb", "pb", _copies("_pa").alias("_ib"), _part("pb", "_pb").alias("_jb"))
+            u, v = u.repartition(n, "ka", "_ia", "_ja"), v.repartition(n, "kb", "_ib", "_jb")
+            # All rows of a hot key have partners, so these are inner joins for any kind.
+            j = u.hint("merge").join(v, same & (F.col("_ia") == F.col("_ib")) & (F.col("_ja") == F.col("_jb"))).select("ka", "pa", "kb", "pb").union(cold)
     return j.select(F.coalesce("ka", "kb").alias("key"), F.coalesce("pa", F.lit(NO_MATCH)).alias("a_pos"), F.coalesce("pb", F.lit(NO_MATCH)).alias("b_pos"))
 
 
+def _part(by: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.col(parts)).cast("int")
+
+
+def _copies(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _matched(x: DataFrame, y: DataFrame, kind: str, tasks: int) -> DataFrame:
+    """(ka, pa, kb, pb) in so many tasks.  A full join holds all pairs of a key in memory, so
+    it is made of a left one, which holds those of one row, and the rows it leaves out."""
+    x, y, same = x.repartition(tasks, "ka"), y.repartition(tasks, "kb"), F.col("ka") == F.col("kb")
+    if kind.replace("_", "").lower() not in ("full", "outer", "fullouter"):
+        return x.hint("merge").join(y, same, kind).select("ka", "pa", "kb", "pb")
+    left = x.hint("merge").join(y, same, "left").select("ka", "pa", "kb", "pb")
+    return left.unionByName(y.hint("merge").join(x, same, "left_anti").select("kb", "pb"), allowMissingColumns=True)
+
+
 def semi_join(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
     return a.join(b.select(key), key, "left_semi").select(*a.columns)
 
