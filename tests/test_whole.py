@@ -40,6 +40,26 @@ def test_whole_product(spark, tables):
     assert got == {k: (float(v), n[k]) for k, v in want.items()} and (1, 401) in got
 
 
+def test_product_in_blocks(make):
+    """Parallel, null and hot elements; sums of products are not moved."""
+    a = [(i % 40, i % 7, float(i)) for i in range(300)] + [(None, 3, 2.0), (5, None, 1.0), (6, 6, None)] + [(50, k, 1.0) for k in range(7)]
+    b = [(i % 9, i % 30, float(i % 5)) for i in range(200)] + [(3, None, 2.0), (None, 4, 1.0)]
+    frames = [make(rows, "row long, col long, value double") for rows in (a, b)]
+    want, n = {}, Counter()
+    for i, k, x in a:
+        for m, j, y in b:
+            if k == m and k is not None:
+                n[i, j] += 1
+                if x is not None:
+                    want[i, j] = want.get((i, j), 0) + x * y
+    for block in (10, 10**9):
+        out = relational.spgemm(*frames, block=block)
+        assert {(r.row, r.col): r.n for r in out.collect()} == n
+        assert {(r.row, r.col): r.value for r in out.collect() if r.value is not None} == want
+    plan = relational.spgemm(*frames, block=10)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]  # noqa: SLF001
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
 @pytest.mark.parametrize("kind", ["inner", "left", "right", "full"])
 def test_whole_joins_with_a_hot_key(spark, tables, kind):
     a = [(i, 7 if i % 3 == 0 else i % 20) for i in range(1, 61)]
