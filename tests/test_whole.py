@@ -75,7 +75,7 @@ def test_whole_joins_with_a_hot_key(spark, tables, kind):
     assert got == want
 
 
-@pytest.mark.parametrize("kind", ["inner", "full"])
+@pytest.mark.parametrize("kind", ["inner", "left", "full"])
 def test_joins_in_blocks_of_pairs(make, kind):
     """Key 7 has 1,200 pairs, key 8 as many with one row on one side, key 9 ten; 1, 2 and null have no partner."""
     a = [(i, 7) for i in range(40)] + [(100, 8), (101, 9), (102, 9), (103, 1), (104, None)]
